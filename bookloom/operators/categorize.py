@@ -186,9 +186,11 @@ def candidates() -> list[Column]:
 
 def first_candidate(match) -> Column:
     """Struct (hit, text) of the first candidate text with a hit."""
-    return F.coalesce(*[
-        let(F.when(text.isNotNull(), match(text)), lambda h, t=text: F.when(
-            h.isNotNull(), F.struct(h.alias("hit"), t.alias("text")))) for text in candidates()])
+    def attempt(text: Column) -> Column:
+        return let(F.when(text.isNotNull(), match(text)), lambda h: F.when(
+            h.isNotNull(), F.struct(h.alias("hit"), text.alias("text"))))
+
+    return F.coalesce(*[attempt(text) for text in candidates()])
 
 
 # --- layers over rows -------------------------------------------------------

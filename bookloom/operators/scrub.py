@@ -129,11 +129,12 @@ def counts(detected: DataFrame, by: list[str]) -> DataFrame:
 def report(redacted: DataFrame, text: str = "text") -> DataFrame:
     """Per text: characters before and after, items found, items by type."""
     labels = sorted([d["label"] for d in rules.detectors()] + [rules.CUSTOM["label"]])
-    by_type = F.array_compact(F.array(*[
-        F.when(F.array_contains("detections.label", label), F.concat(
-            F.lit(f"{label}="),
-            F.size(F.filter("detections", lambda d, x=label: d["label"] == x)).cast("string")))
-        for label in labels]))
+
+    def count(label: str) -> Column:
+        hits = F.size(F.filter("detections", lambda d: d["label"] == label))
+        return F.when(hits > 0, F.concat(F.lit(f"{label}="), hits.cast("string")))
+
+    by_type = F.array_compact(F.array(*[count(label) for label in labels]))
     return redacted.withColumns({
         "original_chars": F.length(text), "redacted_chars": F.length("redacted"),
         "items": F.size("detections"), "by_type": F.array_join(by_type, "; ")})

@@ -353,7 +353,7 @@ def correction_events(spark: SparkSession, folder: str) -> DataFrame:
     """A log of corrections, bulk rows and overrides, from the event stream."""
     accounts_list = literal([{"c": a["code"], "n": a["name"], "t": a["type"]}
                              for a in accounts.chart()], "array<struct<c:string,n:string,t:string>>")
-    e = F.col("event_id")
+    e, n = F.col("event_id"), F.col("event_seq")
     pick = F.get(accounts_list, F.pmod(e, F.lit(67)).cast("int"))
     kind = (F.when(F.col("event_type") == "error", "override")
             .when(F.col("event_type") == "view", "import").otherwise("correct"))
@@ -363,13 +363,13 @@ def correction_events(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(_pick(DEBIT_TEXTS, e), F.when(e % 2 == 0, F.concat(F.lit(" #"), e.cast("string")))
                  .otherwise("")).alias("description"), pick.alias("a"))
         .withColumns({
-            "account_code": F.when((F.col("kind") == "import") & (e % 9 == 0), F.lit(None))
+            "account_code": F.when((F.col("kind") == "import") & (n % 9 == 0), F.lit(None))
             .otherwise(F.col("a.c")),
             "account_name": F.col("a.n"), "account_type": F.col("a.t"),
-            "category": F.when(e % 3 == 0, "books").otherwise(""), "subcategory": F.lit(""),
-            "deductible": e % 4 != 0, "irs_ref": F.when(e % 5 == 0, "Line 9").otherwise(""),
-            "direction": F.when(e % 6 == 0, "DEBIT").otherwise(""),
-            "notes": F.when(e % 7 == 0, "checked").otherwise(""),
+            "category": F.when(n % 3 == 0, "books").otherwise(""), "subcategory": F.lit(""),
+            "deductible": n % 4 != 0, "irs_ref": F.when(n % 5 == 0, "Line 9").otherwise(""),
+            "direction": F.when(n % 6 == 0, "DEBIT").otherwise(""),
+            "notes": F.when(n % 7 == 0, "checked").otherwise(""),
             "source": F.lit("human_override")}).drop("a"))
 
 

@@ -79,9 +79,11 @@ def sniff(header: Column) -> Column:
 def header_positions(cells: Column) -> dict[str, Column]:
     """1-based position of the first header of each role, 0 when there is none."""
     names = F.transform(cells, lambda h: F.regexp_replace(F.lower(F.trim(h)), "_", " "))
-    return {f"at_{role}": F.array_position(
-        F.transform(names, lambda n, a=aliases: n.isin(a)), F.lit(True)).cast("int")
-        for role, aliases in HEADERS.items()}
+
+    def place(aliases: list[str]) -> Column:
+        return F.array_position(F.transform(names, lambda n: n.isin(aliases)), F.lit(True)).cast("int")
+
+    return {f"at_{role}": place(aliases) for role, aliases in HEADERS.items()}
 
 
 def _cell(cells: Column, position: Column) -> Column:
