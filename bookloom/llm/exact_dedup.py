@@ -86,3 +86,11 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     batch = settle(digests(docs), "digests")
     index.append(batch)
     return index.decide(batch)
+
+
+def keep(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay, unchanged; of repeated rows with one id, all with that text."""
+    stay = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"),
+                                                  F.col("text_sha256").alias("_sha")).distinct()
+    same = docs["doc_id"].eqNullSafe(stay["_id"]) & (digest() == stay["_sha"])
+    return docs.join(stay, same, "left_semi")
