@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookloom.llm import arc, exact_dedup, language, packing, planes, token_count
+from bookloom.llm import arc, decontam, exact_dedup, language, packing, planes, token_count
 from bookloom.llm.common import scratch, table
 from bookloom.llm.tokenizer import default_path
 
@@ -18,6 +18,10 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     packed = packing.pack(table(spark, folder, "documents"), default_path("byte_bpe_50k.json"))
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"),
@@ -48,10 +52,10 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op3_packing, op5_warc, op6_exact_dedup, op9_planes,
+    f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_packing, op5_warc, op6_exact_dedup, op9_planes,
                             op10_language)}
 
-ORACLES = {"op6_exact_dedup": r"""
+ORACLES = {"op2_decontamination": decontam.oracle(), "op6_exact_dedup": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 h AS (SELECT doc_id, length(t) AS points,
              sha256(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS text_sha256 FROM d)
