@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookloom.llm import arc, decontam, exact_dedup, language, packing, planes, token_count
+from bookloom.llm import arc, decontam, exact_dedup, language, packing, planes, repeats, token_count
 from bookloom.llm.common import scratch, table
 from bookloom.llm.tokenizer import default_path
 
@@ -40,6 +40,12 @@ def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, folder, "documents"))
 
 
+def op7_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256)
+                        .alias("kept_sha256"))
+
+
 def op9_planes(spark: SparkSession, folder: str) -> DataFrame:
     out = scratch(spark, "planes")
     planes.write_planes(table(spark, folder, "documents"), out, default_path("word_bpe_49k.json"), 2)
@@ -52,7 +58,7 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_packing, op5_warc, op6_exact_dedup, op9_planes,
+    f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_packing, op5_warc, op6_exact_dedup, op7_repeats, op9_planes,
                             op10_language)}
 
 ORACLES = {"op2_decontamination": decontam.oracle(), "op6_exact_dedup": r"""

@@ -31,7 +31,7 @@ class Encoder:
     """ids(texts) of one tokenizer file; memo: the most pieces between blanks that are
     remembered, and half the most words."""
 
-    def __init__(self, path: str, memo: int = 300_000):
+    def __init__(self, path: str, memo: int = 500_000):
         self.path, self.memo = path, memo
         self.pieces: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}  # plain; after a blank
         self.words: dict[str, bytes] = {}
@@ -59,28 +59,31 @@ class Encoder:
             return [(p.begin, p.end) for p in found]
         return self.model.encode(text, add_special_tokens=False).offsets
 
-    def _encode(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.words]
-        for at in range(0, len(new), 4096):
-            part = new[at:at + 4096]
-            for w, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False)):
-                self.words[w] = array("I", e.ids).tobytes()
-
-    def _learn(self, plain: set[str], spaced: set[str]) -> None:
+    def _learn(self, known: dict[str, bytes], keys: set[str], before: str) -> None:
         """Pieces not met before, from their word and the marks after it."""
         if len(self.words) > 2 * self.memo:
             self.words.clear()
-        cut = []
-        for known, keys, before in ((self.pieces[0], plain, ""), (self.pieces[1], spaced, " ")):
-            for k in keys:
-                w = k.rstrip(MARKS)
-                # after a letter or digit a mark always starts a match of its own
-                if not (w and w[-1].isalnum() and w[-1] < "\u2000"):
-                    w = k
-                cut.append((known, k, before + w, k[len(w):]))
-        self._encode({x for _, _, *both in cut for x in both})
-        for known, k, word, marks in cut:
-            known[k] = self.words[word] + self.words[marks]
+        words, cut, new = self.words, [], set()
+        for k in keys:
+            w = k.rstrip(MARKS)
+            # after a letter or digit a mark always starts a match of its own
+            if w and w is not k and w[-1].isalnum() and w[-1] < "\u2000":
+                marks = k[len(w):]
+                if marks not in words:
+                    new.add(marks)
+            else:
+                w, marks = k, ""
+            w = before + w
+            if w not in words:
+                new.add(w)
+            cut.append((k, w, marks))
+        ordered = list(new)
+        for at in range(0, len(ordered), 4096):
+            part = ordered[at:at + 4096]
+            for w, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False)):
+                words[w] = array("I", e.ids).tobytes()
+        for k, w, marks in cut:
+            known[k] = words[w] + words[marks] if marks else words[w]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers."""
@@ -90,18 +93,21 @@ class Encoder:
         if len(plain) + len(spaced) > self.memo:
             plain.clear()
             spaced.clear()
-        cut: list[tuple[list[str], list[str]]] = []
+        out: list[bytes] = []
         for t in texts:
             if ("  " in t or "\n " in t or t[-1:] in (" ", "\n") or t[:1] == " "
                     or OTHER_SPACE.search(t)):
-                cut.append((PIECE.findall(t), []))
+                heads, rest = PIECE.findall(t), []
             else:
-                head, *rest = t.split(" ")
-                cut.append(([head], rest))
-        self._learn({k for heads, _ in cut for k in heads if k not in plain},
-                    {k for _, rest in cut for k in rest if k not in spaced})
-        return [b"".join([plain[k] for k in heads]) + b"".join([spaced[k] for k in rest])
-                for heads, rest in cut]
+                heads = t.split(" ")
+                rest, heads = heads[1:], heads[:1]
+            for known, keys, before in ((plain, heads, ""), (spaced, rest, " ")):
+                found = list(map(known.get, keys))
+                if None in found:
+                    self._learn(known, {k for k, v in zip(keys, found) if v is None}, before)
+                    found = [known[k] for k in keys]
+                out.append(b"".join(found))
+        return [a + b for a, b in zip(out[::2], out[1::2])]
 
 
 _open: dict[str, Encoder] = {}
