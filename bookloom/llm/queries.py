@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookloom.llm import arc, decontam, exact_dedup, language, packing, planes, repeats, token_count
+from bookloom.llm import arc, decontam, exact_dedup, language, packing, planes, repeats, token_count, toxicity
 from bookloom.llm.common import scratch, table
 from bookloom.llm.tokenizer import default_path
 
@@ -46,6 +46,10 @@ def op7_repeats(spark: SparkSession, folder: str) -> DataFrame:
                         .alias("kept_sha256"))
 
 
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity_of(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op9_planes(spark: SparkSession, folder: str) -> DataFrame:
     out = scratch(spark, "planes")
     planes.write_planes(table(spark, folder, "documents"), out, default_path("word_bpe_49k.json"), 2)
@@ -58,7 +62,7 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_packing, op5_warc, op6_exact_dedup, op7_repeats, op9_planes,
+    f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_packing, op5_warc, op6_exact_dedup, op7_repeats, op8_toxicity, op9_planes,
                             op10_language)}
 
 ORACLES = {"op2_decontamination": decontam.oracle(), "op6_exact_dedup": r"""
