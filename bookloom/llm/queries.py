@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookloom.llm import arc, decontam, exact_dedup, language, packing, planes, repeats, token_count, toxicity
+from bookloom.llm import arc, decontam, exact_dedup, forest, language, packing, planes, repeats, token_count, toxicity
 from bookloom.llm.common import scratch, table
 from bookloom.llm.tokenizer import default_path
 
@@ -28,6 +28,10 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
                          "doc_tokens", "sequence_id", "offset")
 
 
+def op4_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return forest.near_duplicates(table(spark, folder, "documents"))
+
+
 def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
     old, new = scratch(spark, "arc"), scratch(spark, "warc")
     arc.write_arc(table(spark, folder, "pages"), old)
@@ -62,7 +66,7 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_packing, op5_warc, op6_exact_dedup, op7_repeats, op8_toxicity, op9_planes,
+    f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_packing, op4_jaccard_join, op5_warc, op6_exact_dedup, op7_repeats, op8_toxicity, op9_planes,
                             op10_language)}
 
 ORACLES = {"op2_decontamination": decontam.oracle(), "op6_exact_dedup": r"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bookloom.llm import exact_dedup, language, packing
+from bookloom.llm import decontam, exact_dedup, forest, language, packing
 from bookloom.llm.common import settle, table
 from bookloom.llm.tokenizer import default_path
 
@@ -21,13 +21,24 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return exact_dedup.keep(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each class of near duplicates."""
+    return forest.keep(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak no item of the benchmark."""
+    return decontam.keep(docs, table(spark, sf_dir, "benchmark"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their sequence and place in it."""
     return packing.pack(docs, default_path("byte_bpe_50k.json"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language_id", language_id), ("exact_dedup", exact_duplicates), ("packing", pack)]
+    ("language_id", language_id), ("exact_dedup", exact_duplicates),
+    ("jaccard_join", near_duplicates), ("decontamination", decontaminate), ("packing", pack)]
 
 #: Language models and token ids are beyond SQL.
 ORACLE_SQL = None
