@@ -324,8 +324,7 @@ def _percent(c: Column) -> Column:
     return F.concat(F.format_string("%.0f", c * 100), F.lit("%"))
 
 
-def categorize(rows: DataFrame, learned_rules: DataFrame | None = None, mode: str = "full",
-               known_small: bool = False) -> DataFrame:
+def categorize(rows: DataFrame, learned_rules: DataFrame | None = None, mode: str = "full") -> DataFrame:
     """Categorise rows that went through the loan, flow and merchant stages."""
     threshold = F.lit(THRESHOLDS[mode])
     direction, upper = F.col("direction"), F.col("_upper")
@@ -336,7 +335,7 @@ def categorize(rows: DataFrame, learned_rules: DataFrame | None = None, mode: st
         lambda t: exact_match(t, direction))))
     still_open = free & F.col("_exact").isNull()
     if learned_rules is not None:
-        out = corrections.match(out, learned_rules, still_open, known_small)
+        out = corrections.match(out, learned_rules, still_open)
     else:
         out = out.withColumn("learned", F.lit(None).cast(corrections.LEARNED))
     out = out.withColumn("_pattern", F.when(
@@ -414,10 +413,12 @@ def review_queue(categorized: DataFrame) -> DataFrame:
 
 
 def accuracy(categorized: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
-    """Share of labelled rows with the expected account, and whether it reaches 90%."""
+    """Share of labelled rows with the expected account, and whether it reaches 90%.
+
+    ``labels`` may have any size: the optimiser decides how they travel."""
     hit = F.col("account_code") == F.col("expected_account_code")
     share = F.count_if(hit) / F.count("*")
-    return categorized.join(F.broadcast(labels), keys).agg(
+    return categorized.join(labels, keys).agg(
         F.count("*").alias("total"), count_if(hit).alias("correct"),
         count_if(~hit).alias("mismatches"), F.round(share, 4).alias("accuracy"),
         (F.count_if(hit) * 10 >= F.count("*") * 9).alias("passes"))

@@ -104,15 +104,21 @@ def batch_issues(reconciled: DataFrame, trial_totals: DataFrame, batch_counts: D
             .select("batch_id", "transaction_id", "i.*"))
 
 
-def batch_counts(posted: DataFrame) -> DataFrame:
-    """What the batch-level checks and gates need, in one aggregation."""
+#: Below this confidence a row counts as uncertain.
+LOW_CONFIDENCE = 70
+
+
+def batch_counts(posted: DataFrame, threshold: int = LOW_CONFIDENCE) -> DataFrame:
+    """What the batch-level checks and gates need, in one aggregation.
+
+    ``threshold`` is in percent."""
     return posted.groupBy("batch_id").agg(
         F.count("*").alias("rows"), F.count("entry_id").alias("entries"),
         count_if(F.col("categorization_layer") == "uncategorized").alias("uncategorized"),
         count_if(~F.col("entry_balanced")).alias("unbalanced"),
         count_if(F.col("account_type") == "COGS").alias("cogs_rows"),
         count_if(F.col("loan_split_source") == "unsplit").alias("unsplit"),
-        count_if(F.col("confidence_score") < 0.70).alias("low_confidence"),
+        count_if(F.col("confidence_score") < threshold / 100).alias("low_confidence"),
         count_if(F.col("required_review")).alias("must_review"))
 
 
@@ -132,12 +138,17 @@ def rollup(issues: DataFrame, batches: DataFrame) -> DataFrame:
 
 
 def gates(counts: DataFrame, trial_totals: DataFrame, reconciled: DataFrame,
-          validation: DataFrame, threshold: str = "70%", method: str = "cash") -> DataFrame:
-    """The four gates as columns: name -> struct(passed, details, blocker)."""
-    g = (counts.join(trial_totals.select("batch_id", "is_balanced", "difference"), "batch_id")
-         .join(reconciled.select("batch_id", "status", F.col("difference").alias("recon_diff")),
-               "batch_id")
-         .join(validation.select("batch_id", "structural_critical"), "batch_id"))
+          validation: DataFrame, threshold: int = LOW_CONFIDENCE, method: str = "cash") -> DataFrame:
+    """The four gates as columns: name -> struct(passed, details, blocker).
+
+    Every reconciled batch has its gates, also one without transactions. ``threshold`` is the
+    one that ``counts`` were made with."""
+    number = [f.name for f in counts.schema if f.name != "batch_id"]
+    g = (reconciled.select("batch_id", "status", F.col("difference").alias("recon_diff"))
+         .join(counts, "batch_id", "left")
+         .join(trial_totals.select("batch_id", "is_balanced", "difference"), "batch_id", "left")
+         .join(validation.select("batch_id", "structural_critical"), "batch_id", "left")
+         .fillna(0, [*number, "structural_critical"]).fillna(True, ["is_balanced"]))
 
     def n(c: str) -> Column:
         return F.col(c).cast("string")
@@ -159,7 +170,7 @@ def gates(counts: DataFrame, trial_totals: DataFrame, reconciled: DataFrame,
                 n("unsplit"), " loan payment(s) without principal/interest split"))]),
         "review": (False, "All items above confidence threshold and reviewed.", [
             (F.col("low_confidence") > 0, _text(
-                n("low_confidence"), f" transaction(s) below {threshold} confidence")),
+                n("low_confidence"), f" transaction(s) below {threshold}% confidence")),
             (F.col("uncategorized") > 0, _text(n("uncategorized"), " uncategorized transaction(s)")),
             (F.col("must_review") > 0, _text(
                 n("must_review"), " transaction(s) require human review"))]),

@@ -1,8 +1,7 @@
 """Matching rows against rules that belong to their client.
 
-Small rule sets are grouped per client and broadcast, which keeps matching narrow.
-Larger ones are joined on (client, a three-letter piece of the pattern), so neither side
-is broadcast and no client's rules are gathered into one row.
+Rules are packed per client, best first, and joined on the client id. The optimiser decides
+whether the packed table is broadcast, from its measured size.
 """
 
 from __future__ import annotations
@@ -12,27 +11,20 @@ from pyspark.sql import functions as F
 
 from bookloom.functions.matching import let
 
-BROADCAST_RULES = 20_000
-GRAM = 3
-
-
-def _fits(rules: DataFrame, limit: int) -> bool:
-    return rules.limit(limit + 1).count() <= limit
+#: Most rules of one client; more is an error, since a client's rules travel in one row.
+CLIENT_RULES = 200_000
 
 
 def match_client_rules(rows: DataFrame, rules: DataFrame, text: Column, pattern: str,
-                       rank: list[str], payload: list[str], name: str, row_id: str = "seq",
+                       rank: list[str], payload: list[str], name: str,
                        side: Column | None = None, rule_side: str | None = None,
-                       only: Column | None = None, limit: int = BROADCAST_RULES,
-                       known_small: bool = False) -> DataFrame:
+                       only: Column | None = None) -> DataFrame:
     """Add struct ``name``: the best rule of the row's client whose pattern is in ``text``.
 
-    Best is smallest by ``rank`` (columns of ``rules``). ``only`` restricts which rows are
-    tried. ``known_small`` skips the count for rules whose size is bounded where they are
-    made. The result is the same on both paths.
+    Best is smallest by ``rank`` (columns of ``rules``). An empty pattern is in every text,
+    a null text or pattern in none. ``only`` restricts which rows are tried.
     """
     tried = F.coalesce(only, F.lit(False)) if only is not None else F.lit(True)
-    keep = F.struct(*[F.col(c) for c in [*rank, *payload]])
     need_side = side is not None and rule_side is not None
 
     def side_ok(rule: Column) -> Column:
@@ -40,35 +32,15 @@ def match_client_rules(rows: DataFrame, rules: DataFrame, text: Column, pattern:
             return F.lit(True)
         return (rule == "") | (side == "") | (rule == side)
 
-    if known_small or _fits(rules, limit):
-        extra = [rule_side] if rule_side and rule_side not in payload else []
-        packed = (rules.groupBy("client_id")
-                  .agg(F.array_sort(F.collect_list(F.struct(
-                      *rank, F.col(pattern).alias("_pattern"),
-                      *[F.col(c) for c in [*payload, *extra] if c not in rank]))).alias("_rules")))
-        hit = let(text, lambda t: F.get(F.filter(
-            "_rules", lambda r: t.contains(r["_pattern"])
-            & (side_ok(r[rule_side]) if need_side else F.lit(True))), 0))
-        return (rows.join(F.broadcast(packed), "client_id", "left")
-                .withColumn(name, F.when(tried, hit))
-                .drop("_rules"))
-
-    gram = F.substring(F.col(pattern), 1, GRAM)
-    keyed = rules.select("client_id", F.col(pattern).alias("_pattern"), gram.alias("_gram"),
-                         *([F.col(rule_side).alias("_side")] if need_side else []),
-                         keep.alias("_rule"))
-    # every piece of 1..GRAM characters, so short patterns still meet their text
-    pieces = F.array_distinct(F.flatten(F.transform(
-        F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length("_text") - n + 1, F.lit(1))),
-            lambda i: F.substring(F.col("_text"), i, n)))))
-    texts = (rows.where(tried)
-             .select(F.col(row_id), "client_id", text.alias("_text"),
-                     (side if need_side else F.lit("")).alias("_row_side"))
-             .withColumn("_gram", F.explode(pieces)))
-    hits = texts.join(keyed, ["client_id", "_gram"]).where(F.col("_text").contains(F.col("_pattern")))
-    if need_side:
-        hits = hits.where((F.col("_side") == "") | (F.col("_row_side") == "")
-                          | (F.col("_side") == F.col("_row_side")))
-    best = hits.groupBy(row_id).agg(F.min("_rule").alias(name))
-    return rows.join(best, row_id, "left")
+    extra = [rule_side] if rule_side and rule_side not in payload else []
+    packed = (rules.groupBy("client_id")
+              .agg(F.array_sort(F.collect_list(F.struct(
+                  *rank, F.col(pattern).alias("_pattern"),
+                  *[F.col(c) for c in [*payload, *extra] if c not in rank]))).alias("_rules")))
+    packed = packed.withColumn("_rules", F.when(F.size("_rules") <= CLIENT_RULES, F.col("_rules"))
+                               .otherwise(F.raise_error(F.lit("too many rules of one client"))))
+    hit = let(text, lambda t: F.get(F.filter(
+        "_rules", lambda r: t.contains(r["_pattern"])
+        & (side_ok(r[rule_side]) if need_side else F.lit(True))), 0))
+    return (rows.join(packed, "client_id", "left")
+            .withColumn(name, F.when(tried, hit)).drop("_rules"))

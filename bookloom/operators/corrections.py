@@ -101,8 +101,7 @@ def delete(rules: DataFrame, deletions: DataFrame) -> DataFrame:
                       ["client_id", "rule_id"], "left_anti")
 
 
-def match(rows: DataFrame, rules: DataFrame, only: Column | None = None,
-          known_small: bool = False) -> DataFrame:
+def match(rows: DataFrame, rules: DataFrame, only: Column | None = None) -> DataFrame:
     """Add struct ``learned``: the longest pattern of the client contained in the
     description whose side fits; ties go to the older rule."""
     table = rules.withColumns({
@@ -116,7 +115,7 @@ def match(rows: DataFrame, rules: DataFrame, only: Column | None = None,
     return match_client_rules(
         rows, table, match_text(F.col("description")), "canonical_pattern",
         ["_len", "created_seq"], keep, "learned", side=F.col("direction"),
-        rule_side="direction", only=only, known_small=known_small)
+        rule_side="direction", only=only)
 
 
 def evidence(rule: Column, applied: Column | None = None) -> Column:

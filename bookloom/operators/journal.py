@@ -104,12 +104,19 @@ def journal(posted: DataFrame) -> DataFrame:
 
 
 def trial_balance(journal_lines: DataFrame, by: list[str] = ["batch_id"]) -> DataFrame:
-    """Debit, credit and net per account. The name is that of the account's first line."""
+    """Debit, credit and net per account. The name is that of the account's first line.
+
+    Lines are summed per account and name with numbers only, so the large aggregation hashes;
+    the first name is picked from those few rows."""
     net = (F.col("total_debit") - F.col("total_credit")).cast(MONEY)
     entry = F.try_element_at(chart_map(), F.col("account"))
     zero = F.lit(0).cast(MONEY)
-    return (journal_lines.groupBy(*by, "account").agg(
-        F.min_by("account_name", F.struct("seq", "line")).alias("name"),
+    place = F.col("seq").cast("decimal(38,0)") * 8 + F.col("line")  # an entry has four lines at most
+    named = journal_lines.groupBy(*by, "account", "account_name").agg(
+        F.min(place).alias("place"), total(F.col("debit")).alias("debit"),
+        total(F.col("credit")).alias("credit"))
+    return (named.groupBy(*by, "account").agg(
+        F.min_by("account_name", "place").alias("name"),
         total(F.col("debit")).alias("total_debit"), total(F.col("credit")).alias("total_credit"))
         .withColumns({"type": F.coalesce(entry["type"], F.lit("UNKNOWN")),
                       "normal_balance": F.coalesce(entry["side"], F.lit("DEBIT")),

@@ -16,7 +16,9 @@ SPLIT = ("struct<principal:decimal(18,2),interest:decimal(18,2),fees:decimal(18,
 
 
 def is_loan(description: Column, direction: Column) -> Column:
-    return (direction == "DEBIT") & contains_any(F.upper(description), rules.KEYWORDS)
+    """Never null: a row without description or direction is no loan."""
+    found = (direction == "DEBIT") & contains_any(F.upper(description), rules.KEYWORDS)
+    return F.coalesce(found, F.lit(False))
 
 
 def loan_type(description: Column) -> Column:
@@ -78,36 +80,46 @@ def estimated_split(net: Column, fees: Column, kind: Column) -> Column:
         F.lit("). ESTIMATED — provide lender statement for accurate split.")))
 
 
+#: What names a row; ``seq`` alone may repeat from client to client.
+ROW = ["client_id", "batch_id", "seq"]
+
+
 def scheduled_split(rows: DataFrame, schedules: DataFrame) -> DataFrame:
     """Add struct ``_entry``: the schedule row that matches, if any.
 
     Schedules are tried in order; inside one, an exact date with an amount within the
-    tolerance goes before amount alone. Amounts meet on whole units (a payment is copied
-    to its own unit and both neighbours), so the join hashes and each pair meets once.
+    tolerance goes before amount alone. Dates meet in an equi-join. For amount alone only the
+    first row of each payment amount counts, so a schedule of equal payments is one candidate;
+    amounts meet on whole units (a payment is copied to its own unit and both neighbours), so
+    that join hashes too and each pair meets once.
     """
-    gap = rules.AMOUNT_TOLERANCE
-    near = schedules.select(
-        "client_id", "loan_ordinal", "loan_id", F.col("date").alias("_due"), "payment",
-        "principal", "interest",
-        F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)),
-                              lambda d: F.floor("payment") + d)).alias("_unit"))
-    wanted = rows.select("seq", "client_id", "date", "amount", F.floor("amount").alias("_unit"))
-    inexact = F.when(F.col("_due") == F.col("date"), 0).otherwise(1)
-    hits = (wanted.join(near, ["client_id", "_unit"])
-            .where(F.abs(F.col("payment") - F.col("amount")) <= F.lit(gap).cast(MONEY))
-            .groupBy("seq")
-            .agg(F.min(F.struct("loan_ordinal", inexact.alias("inexact"), "_due", "payment",
-                                "loan_id", "principal", "interest")).alias("_entry")))
-    return rows.join(hits, "seq", "left")
+    gap = F.lit(rules.AMOUNT_TOLERANCE).cast(MONEY)
+    entry = ["loan_ordinal", "inexact", "_due", "payment", "loan_id", "principal", "interest"]
+    table = schedules.select("client_id", "loan_ordinal", F.col("date").alias("_due"), "payment",
+                             "loan_id", "principal", "interest")
+    first = (table.groupBy("client_id", "loan_ordinal", "payment")
+             .agg(F.min(F.struct("_due", "loan_id", "principal", "interest")).alias("f"))
+             .select("client_id", "loan_ordinal", "payment", "f.*"))
+    near = first.withColumn("_unit", F.explode(F.transform(
+        F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor("payment") + d)))
+    wanted = rows.select(*ROW, "date", "amount", F.floor("amount").alias("_unit"))
+    close = F.abs(F.col("payment") - F.col("amount")) <= gap
+    exact = (wanted.join(table, (wanted["client_id"] == table["client_id"])
+                         & (wanted["date"] == table["_due"])).drop(table["client_id"])
+             .where(close).withColumn("inexact", F.lit(0)))
+    loose = wanted.join(near, ["client_id", "_unit"]).where(close).withColumn("inexact", F.lit(1))
+    hits = (exact.select(*ROW, *entry).unionByName(loose.select(*ROW, *entry))
+            .groupBy(*ROW).agg(F.min(F.struct(*entry)).alias("_entry")))
+    return rows.join(hits, ROW, "left")
 
 
 def analyze(rows: DataFrame, manual: DataFrame | None = None,
-            schedules: DataFrame | None = None, known_small: bool = False) -> DataFrame:
+            schedules: DataFrame | None = None) -> DataFrame:
     """Add ``is_loan``, ``loan_type`` and struct ``split``.
 
     Order of trust: the client's manual shares, interest in the description, a payment
     schedule, an estimate. Only loans still open after the first two are shuffled to
-    look for a schedule row; everything else passes through untouched.
+    look for a schedule row; that branch reads and matches the input a second time.
     """
     out = (rows.withColumn("is_loan", is_loan(F.col("description"), F.col("direction")))
            .withColumns({
@@ -122,7 +134,7 @@ def analyze(rows: DataFrame, manual: DataFrame | None = None,
         keyed = manual.withColumn("pattern", F.trim(F.upper("pattern")))
         out = match_client_rules(out, keyed, F.upper("description"), "pattern", ["ordinal"],
                                  ["principal_pct", "interest_pct", "fees_pct"], "_manual",
-                                 only=F.col("is_loan"), known_small=known_small)
+                                 only=F.col("is_loan"))
     else:
         out = out.withColumn("_manual", no_rule)
     entry_type = ("struct<loan_ordinal:int,inexact:int,_due:string,payment:decimal(18,2),"

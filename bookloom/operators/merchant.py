@@ -44,15 +44,14 @@ def light_clean(description: Column) -> Column:
     """Strip bank prefixes one after the other, then trailing reference parts."""
     text = F.upper(F.trim(description))
     for prefix in rules.LIGHT_PREFIXES:
-        rest = F.btrim(F.substring(text, len(prefix) + 1, 1_000_000), F.lit(" -#"))
+        rest = F.btrim(F.substring(text, len(prefix) + 1, 2**31 - 1), F.lit(" -#"))
         text = F.when(text.startswith(prefix), rest).otherwise(text)
     for tail in rules.LIGHT_TAILS:
         text = F.regexp_replace(text, tail, "")
     return F.coalesce(F.nullif(F.trim(text), F.lit("")), F.trim(description))
 
 
-def normalize(rows: DataFrame, dictionary: DataFrame | None = None,
-              known_small: bool = False) -> DataFrame:
+def normalize(rows: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
     """Add ``merchant_clean``, ``merchant_tokens``, ``canonical_merchant_id`` and how it
     was found. A client's own dictionary (first listed hit) goes before the aliases."""
     out = (rows.withColumn("merchant_clean", clean(F.col("description")))
@@ -60,8 +59,7 @@ def normalize(rows: DataFrame, dictionary: DataFrame | None = None,
     if dictionary is not None:
         keyed = dictionary.withColumn("pattern", F.upper("pattern"))
         out = match_client_rules(out, keyed, F.col("merchant_clean"), "pattern", ["ordinal"],
-                                 ["canonical_id", "default_account"], "_own",
-                                 known_small=known_small)
+                                 ["canonical_id", "default_account"], "_own")
     else:
         out = out.withColumn("_own", F.lit(None).cast("struct<canonical_id:string>"))
     known = F.when(F.col("_own").isNull(), alias(F.col("merchant_clean")))

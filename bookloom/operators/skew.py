@@ -6,28 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# A key with more rows than this is split. There are at most total/HOT_ROWS such
-# keys, which is what bounds the broadcast below.
+# Rows of a key that one task joins. Keys with more are split in as many parts as that takes;
+# there are at most total/HOT_ROWS such keys, which is what bounds the broadcast below.
 HOT_ROWS = 1_000_000
-SALTS = 64
 
 
 def join_totals(facts: DataFrame, totals: DataFrame, keys: list[str], rows: str,
                 spread: Column, how: str = "left", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Join per-key ``totals`` back to ``facts``.
 
-    ``totals`` has one row per key and its row count in ``rows``. Rows of a hot key are
-    spread over ``SALTS`` partitions by ``spread`` and its totals row is copied to each;
-    every other key joins on salt 0, so nothing is dropped and nothing is copied twice.
+    ``totals`` has one row per key and its row count in ``rows``. A key's rows are spread
+    over one part per ``hot_rows`` by ``spread`` and its totals row is copied to each part;
+    most keys have one part, so nothing is dropped and nothing is copied twice.
     """
-    hot = totals.where(F.col(rows) > hot_rows).select(*keys, F.lit(True).alias("_hot"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col(rows) / hot_rows)).cast("int")
+    hot = totals.where(F.col(rows) > hot_rows).select(*keys, parts.alias("_parts"))
     salted = (facts.join(F.broadcast(hot), keys, "left")
-              .withColumn("_salt", F.when(F.col("_hot"), F.pmod(spread, F.lit(SALTS)))
-                          .otherwise(F.lit(0)).cast("int"))
-              .drop("_hot"))
-    copies = F.when(F.col(rows) > hot_rows, F.sequence(F.lit(0), F.lit(SALTS - 1))) \
-        .otherwise(F.array(F.lit(0)))
-    copied = totals.withColumn("_salt", F.explode(copies)).drop(rows)
+              .withColumn("_salt", F.pmod(F.coalesce(spread, F.lit(0)),
+                                          F.coalesce("_parts", F.lit(1))).cast("int"))
+              .drop("_parts"))
+    copied = totals.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop(rows)
     return salted.join(copied, [*keys, "_salt"], how).drop("_salt")
 
 

@@ -12,14 +12,20 @@ from bookloom.functions.money import total
 def cover_sheet(batches: DataFrame, batch_totals: DataFrame, trial_totals: DataFrame,
                 flag_summary: DataFrame, business_name: str = "Client",
                 ruleset_version: str = "2.4.0") -> DataFrame:
+    """One sheet per batch; a batch without transactions shows zeros."""
+    none = F.lit(0).cast("decimal(18,2)")
     period = F.concat(F.col("period_start").cast("string"), F.lit(" to "),
                       F.col("period_end").cast("string"))
-    return (batches.join(batch_totals, "batch_id")
-            .join(trial_totals.select("batch_id", "is_balanced"), "batch_id")
-            .join(flag_summary.select("batch_id", "flagged_transactions", "critical"), "batch_id")
+    return (batches.join(batch_totals, "batch_id", "left")
+            .join(trial_totals.select("batch_id", "is_balanced"), "batch_id", "left")
+            .join(flag_summary.select("batch_id", "flagged_transactions", "critical"), "batch_id",
+                  "left")
+            .fillna(0, ["transaction_count", "flagged_transactions", "critical"])
+            .fillna(True, ["is_balanced"])
             .select("batch_id", F.lit(business_name).alias("business_name"), period.alias("period"),
                     "source_document", "document_type", F.lit("cash").alias("accounting_method"),
-                    "transaction_count", "total_debits", "total_credits",
+                    "transaction_count", F.coalesce("total_debits", none).alias("total_debits"),
+                    F.coalesce("total_credits", none).alias("total_credits"),
                     F.when(F.col("is_balanced"), "BALANCED").otherwise("OUT OF BALANCE")
                     .alias("trial_balance_status"),
                     F.col("flagged_transactions").alias("flagged_items"),

@@ -29,8 +29,6 @@ class Inputs:
     manual_splits: DataFrame | None = None
     schedules: DataFrame | None = None
     inventory: DataFrame | None = None
-    # the per-client tables are bounded by construction, so they need no size check
-    rules_known_small: bool = False
 
 
 def derived_inputs(spark: SparkSession, folder: str) -> Inputs:
@@ -39,8 +37,7 @@ def derived_inputs(spark: SparkSession, folder: str) -> Inputs:
     statement_batches = derive.batches(rows)
     return Inputs(rows, statement_batches, derive.learned_rules(spark, folder),
                   derive.dictionary(spark, folder), derive.manual_splits(spark, folder),
-                  derive.schedules(rows), derive.inventory(statement_batches),
-                  rules_known_small=True)
+                  derive.schedules(rows), derive.inventory(statement_batches))
 
 
 class Analysis:
@@ -53,14 +50,13 @@ class Analysis:
     def loans(self) -> DataFrame:
         i = self.inputs
         return loans.apply_splits(loans.analyze(
-            i.transactions, i.manual_splits, i.schedules, i.rules_known_small))
+            i.transactions, i.manual_splits, i.schedules))
 
     @cached_property
     def categorized(self) -> DataFrame:
         flowing = flows.classify(self.loans)
-        small = self.inputs.rules_known_small
-        named = merchant.normalize(flowing, self.inputs.dictionary, small)
-        return categorize.categorize(named, self.inputs.learned, self.mode, small)
+        named = merchant.normalize(flowing, self.inputs.dictionary)
+        return categorize.categorize(named, self.inputs.learned, self.mode)
 
     @cached_property
     def capitalized(self) -> DataFrame:

@@ -17,7 +17,7 @@ from bookloom.operators import (capex, categorize, checks, corrections, doctype,
                                 journal, loans, merchant, pnl, reconcile, scrub, statements,
                                 workpapers)
 from bookloom.plans.analysis import Analysis, Inputs, derived_inputs
-from bookloom.rules import detectors
+from bookloom.rules import detectors, labelled
 from bookloom.sources import derive
 from bookloom.sources import statements as readers
 
@@ -242,7 +242,7 @@ def _(s, d):
 # --- merchants and flows ----------------------------------------------------
 
 def _normalized(s, d):
-    return merchant.normalize(_tx(s, d), derive.dictionary(s, d), known_small=True)
+    return merchant.normalize(_tx(s, d), derive.dictionary(s, d))
 
 
 @query("clean_description")
@@ -310,7 +310,7 @@ def _(s, d):
 def _loan_rows(s, d, with_schedules=True):
     rows = _tx(s, d)
     return loans.analyze(rows, derive.manual_splits(s, d),
-                         derive.schedules(rows) if with_schedules else None, known_small=True)
+                         derive.schedules(rows) if with_schedules else None)
 
 
 @query("detect_loan")
@@ -368,7 +368,7 @@ def _(s, d):
 
 def _pre(s, d):
     return merchant.normalize(flows.classify(loans.apply_splits(loans.analyze(
-        _tx(s, d), known_small=True))), derive.dictionary(s, d), True)
+        _tx(s, d)))), derive.dictionary(s, d))
 
 
 @query("candidate_texts")
@@ -396,7 +396,7 @@ def _(s, d):
 
 @query("learned_match")
 def _(s, d):
-    return corrections.match(_tx(s, d), derive.learned_rules(s, d), known_small=True).where(
+    return corrections.match(_tx(s, d), derive.learned_rules(s, d)).where(
         "learned IS NOT NULL").select("seq", "learned.rule_id", "learned.canonical_pattern",
                                       "learned.account_code", "learned.confidence")
 
@@ -481,34 +481,9 @@ def _(s, d):
 
 @query("labelled_accuracy")
 def _(s, d):
-    labels = s.createDataFrame(LABELS, "description string, direction string, expected_account_code string")
-    a = Analysis(Inputs(_tx(s, d)))
-    return categorize.accuracy(a.categorized, labels, ["description", "direction"])
-
-
-# Descriptions with the account they are known to belong to.
-LABELS = [x.split("|") for x in """
-STRIPE PAYOUT 12345|CREDIT|4000
-SQUARE DEPOSIT 03/10|CREDIT|4000
-CHECK DEPOSIT #4451|CREDIT|4000
-VENDOR REFUND FROM STAPLES|CREDIT|4510
-TRANSFER FROM SAVINGS ACCOUNT|CREDIT|1000
-OWNER CONTRIBUTION DEPOSIT|CREDIT|3200
-SHELL OIL 1234|DEBIT|6120
-AUTOZONE PARTS|DEBIT|5120
-US FOODS INVOICE|DEBIT|5000
-MONTHLY SERVICE FEE|DEBIT|6300
-QUICKBOOKS SUBSCRIPTION|DEBIT|6400
-FACEBOOK ADS MARCH|DEBIT|6450
-RENT PAYMENT MAIN OFFICE|DEBIT|6100
-STARBUCKS|DEBIT|6150
-USPS SHIPPING|DEBIT|6360
-ADP PAYROLL RUN|DEBIT|6000
-GUSTO PAYROLL|DEBIT|6010
-STATE FARM INSURANCE|DEBIT|6200
-ATM WITHDRAWAL 123 MAIN ST|DEBIT|3100
-SBA LOAN PAYMENT|DEBIT|2300
-""".strip().splitlines()]
+    labels = s.createDataFrame([(t, side, code) for t, side, _, code in labelled.ROWS],
+                               "description string, direction string, expected_account_code string")
+    return categorize.accuracy(_analysis(s, d).posted, labels, ["description", "direction"])
 
 
 @query("declarative_rules")
@@ -554,7 +529,7 @@ def _(s, d):
 
 @query("correction_applications")
 def _(s, d):
-    hits = corrections.match(_tx(s, d), derive.learned_rules(s, d), known_small=True)
+    hits = corrections.match(_tx(s, d), derive.learned_rules(s, d))
     return corrections.number_applications(hits, derive.SEQ_SLICE).select(
         "seq", "rule_id", "times_applied", "evidence")
 

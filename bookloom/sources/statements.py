@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bookloom.functions.dates import iso_date
@@ -29,20 +30,22 @@ PERIOD = (r"(?:period|statement)\s*:?\s*(\w+\s+\d{1,2})\s*[-–]\s*"
           r"(\w+\s+\d{1,2},?\s*\d{4})")
 LAST_FOUR = r"account\s*#?\s*:?\s*\*{0,4}(\d{4})\b"
 
-# Bits of ``seq`` that number rows inside a file split.
-ROW_BITS = 27
-
-
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of every file under ``path`` as (source_id, seq, line); files are splittable.
 
-    ``seq`` orders lines in a file: split offset, then row inside the split.
+    ``seq`` numbers the lines of a file from 0: each split's lines follow those of the splits
+    before it. The table of splits has one row per split.
     """
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << ROW_BITS) - 1))
-    return (spark.read.text(path)
-            .select(F.col("_metadata.file_path").alias("source_id"),
-                    (F.shiftleft(F.col("_metadata.file_block_start"), ROW_BITS) + row).alias("seq"),
-                    F.regexp_replace("value", "\r$", "").alias("line")))
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("source_id"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_id"), F.regexp_replace("value", "\r$", "").alias("line"))
+    earlier = W.partitionBy("source_id").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    splits = (lines.groupBy("source_id", "_block")
+              .agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+              .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))))
+    return lines.join(splits, ["source_id", "_block"]).select(
+        "source_id", (F.col("_before") + F.col("_id") - F.col("_first")).alias("seq"), "line")
 
 
 def read_texts(spark: SparkSession, path: str, glob: str = "*.{txt,text,csv}") -> DataFrame:
@@ -56,16 +59,22 @@ def fingerprint(content: Column) -> Column:
 
 
 def split_cells(line: Column, delimiter: Column) -> Column:
-    """Cells of a line; a delimiter inside double quotes does not split."""
-    chain = F
-    for d in DELIMITERS:
-        plain, mark = rf"\Q{d}\E", F.lit('"')
-        outside = plain + r'(?=(?:[^"]*"[^"]*")*[^"]*$)'
-        chain = chain.when((delimiter == d) & ~line.contains(mark), F.split(line, plain, -1)) \
-            .when(delimiter == d, F.split(line, outside, -1))
-    return F.transform(chain, lambda c: F.when(
+    """Cells of a line; a delimiter inside double quotes does not split.
+
+    A piece between quotes lies inside when an odd number of quotes follows it. Delimiters
+    inside are set aside while the line is split, so each line is read a fixed number of times.
+    """
+    mark, aside = F.lit('"'), F.lit("\ue000")
+    pieces = F.split(line, '"', -1)
+    masked = F.array_join(F.transform(pieces, lambda p, i: F.when(
+        (F.size(pieces) - i) % 2 == 0, F.replace(p, delimiter, aside)).otherwise(p)), '"')
+    quoted = F.transform(F.split(masked, F.concat(F.lit("\\Q"), delimiter, F.lit("\\E")), -1),
+                         lambda c: F.replace(c, aside, delimiter))
+    plain = F.split(line, F.concat(F.lit("\\Q"), delimiter, F.lit("\\E")), -1)
+    bare = F.transform(quoted, lambda c: F.when(
         F.trim(c).rlike('^".*"$'),
         F.regexp_replace(F.regexp_replace(F.trim(c), '^"|"$', ""), '""', '"')).otherwise(c))
+    return F.when(line.contains(mark), bare).otherwise(plain)
 
 
 def sniff(header: Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from bookloom.operators import categorize as cat_rules
 from bookloom.operators import pnl as pnl_rules
 from bookloom.operators import statements as st
-from bookloom.rules import accounts, declarative, detectors, flags, flows, keywords, loans, merchants
+from bookloom.rules import (accounts, declarative, detectors, flags, flows, keywords, labelled,
+                            loans, merchants)
 from bookloom.sources import derive
 from bookloom.sources import statements as readers
 from oracle.base import *  # noqa: F403
@@ -265,6 +266,10 @@ o("review_queue", "SELECT batch_id, seq, confidence AS confidence_score FROM pos
 _dm = "CASE " + " ".join(f"WHEN {'TRUE' if r['direction'] == 'BOTH' else 'direction = ' + q(r['direction'])} AND {has('upper(trim(description))', r['words'])} THEN {i}" for i, r in enumerate(declarative.rules())) + " END"
 table("decl", "place, rule_id, account, category, subcategory, confidence, deductible_pct, flag, bound",
       [(i, r["rule_id"], r["account"], r["category"], r["subcategory"], r["confidence"], r["deductible_pct"], r["flag"], r["review_from"]) for i, r in enumerate(declarative.rules())])
+o("labelled_accuracy", f"""SELECT total, correct, total - correct AS mismatches, round(correct / total, 4) AS accuracy, correct * 10 >= total * 9 AS passes
+FROM (SELECT count(*) AS total, count(*) FILTER (p.code = l.code) AS correct FROM posted p
+  JOIN (VALUES {", ".join(f"({q(t)}, {q(side)}, {q(code)})" for t, side, _, code in labelled.ROWS)}) l(description, direction, code)
+  ON p.description = l.description AND p.direction = l.direction)""", "posted")
 o("declarative_rules", f"SELECT seq, rule_id, account, category, subcategory, confidence, deductible_pct, flag, coalesce(amount >= TRY_CAST(nullif(bound, '') AS DECIMAL(18,2)), FALSE) AS requires_review FROM (SELECT *, {_dm} AS place FROM tx) JOIN decl USING (place)", "tx decl")
 
 # --- learned corrections ----------------------------------------------------

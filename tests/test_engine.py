@@ -191,22 +191,78 @@ def test_hot_keys_join_like_plain_joins(spark):
         assert r.nth == by_key[r.k]
 
 
-def test_client_rules_same_on_both_paths(spark):
+def test_client_rules(spark):
     rows = spark.createDataFrame(
-        [(1, 1, "PAY ACME WIDGETS", "DEBIT"), (2, 1, "ACME", "CREDIT"), (3, 2, "ZZ", "DEBIT"),
-         (4, 1, "AB", "DEBIT")], "seq bigint, client_id bigint, t string, direction string")
+        [(1, 1, "PAY ACME WIDGETS", "DEBIT"), (2, 1, "ACME", "CREDIT"), (1, 2, "ZZ", "DEBIT"),
+         (4, 1, "AB", "DEBIT"), (5, 3, "ANYTHING", "DEBIT"), (6, 3, None, "DEBIT")],
+        "seq bigint, client_id bigint, t string, direction string")
+    many = spark.range(25_000).selectExpr(
+        "4L AS client_id", "id AS created", "concat('NO SUCH TEXT ', id) AS pattern", "'' AS side",
+        "'m' AS code")
     rules = spark.createDataFrame(
         [(1, 0, "ACME", "", "x"), (1, 1, "ACME WIDGETS", "DEBIT", "y"), (2, 0, "Z", "", "z"),
-         (1, 2, "AB", "CREDIT", "w")],
+         (1, 2, "AB", "CREDIT", "w"), (3, 0, "", "", "e")],
         "client_id bigint, created bigint, pattern string, side string, code string") \
-        .withColumn("len", -F.length("pattern"))
-    out = []
-    for limit in (100, 0):
-        hit = client_rules.match_client_rules(
-            rows, rules, F.col("t"), "pattern", ["len", "created"], ["code"], "m",
-            side=F.col("direction"), rule_side="side", limit=limit)
-        out.append({r.seq: r.code for r in hit.select("seq", "m.code").collect()})
-    assert out[0] == out[1] == {1: "y", 2: "x", 3: "z", 4: None}
+        .unionByName(many).withColumn("len", -F.length("pattern"))
+    hit = client_rules.match_client_rules(
+        rows, rules, F.col("t"), "pattern", ["len", "created"], ["code"], "m",
+        side=F.col("direction"), rule_side="side")
+    got = {(r.client_id, r.seq): r.code for r in hit.select("client_id", "seq", "m.code").collect()}
+    # an empty pattern is in every text
+    assert got == {(1, 1): "y", (1, 2): "x", (2, 1): "z", (1, 4): None, (3, 5): "e", (3, 6): None}
+
+
+def test_schedules_keep_clients_apart(spark):
+    rows = spark.createDataFrame(
+        [(1, "b1", 1, "2024-03-05", "SBA LOAN PAYMENT", D("500.00"), "DEBIT"),
+         (2, "b2", 1, "2024-03-05", "SBA LOAN PAYMENT", D("900.00"), "DEBIT"),
+         (1, "b1", 2, "2024-04-05", "SBA LOAN PAYMENT", D("500.00"), "DEBIT"),
+         (1, "b1", 3, "2024-04-05", None, D("500.00"), "DEBIT")],
+        "client_id bigint, batch_id string, seq bigint, date string, description string, "
+        "amount decimal(18,2), direction string")
+    schedule = [(1, 0, "L1", f"20{25 + i // 12}-{i % 12 + 1:02d}-05", D("500.00"), D(400 - i), D(100 + i), None)
+                for i in range(360)]
+    schedule += [(1, 0, "L1", "2024-04-05", D("500.00"), D("333.00"), D("167.00"), None),
+                 (2, 0, "L2", "2024-01-05", D("900.00"), D("600.00"), D("300.00"), None)]
+    table = spark.createDataFrame(
+        schedule, "client_id bigint, loan_ordinal int, loan_id string, date string, "
+                  "payment decimal(18,2), principal decimal(18,2), interest decimal(18,2), "
+                  "balance decimal(18,2)")
+    got = loans.analyze(rows, schedules=table)
+    assert got.count() == 4
+    split = {(r.client_id, r.seq): r.split and (r.split.principal, r.split.source) for r in got.collect()}
+    assert split == {(1, 1): (D("333.00"), "amortization"), (2, 1): (D("600.00"), "amortization"),
+                     (1, 2): (D("333.00"), "amortization"), (1, 3): None}
+
+
+def test_empty_batch_is_blocked(spark):
+    rows = transactions(spark, [("STRIPE PAYOUT", "CREDIT", "10.00")])
+    both = batches(spark, D("0.00"), D("10.00")).unionByName(
+        batches(spark, D("5.00"), D("5.00")).withColumn("batch_id", F.lit("b2")))
+    a = Analysis(Inputs(rows, both))
+    status = {r.batch_id: r.overall_status for r in a.verdict.collect()}
+    assert set(status) == {"b1", "b2"} and status["b2"] == "BLOCKED"
+    sheet = {r.batch_id: (r.transaction_count, r.total_debits) for r in a.cover.collect()}
+    assert sheet["b2"] == (0, D("0.00")) and sheet["b1"][0] == 1
+
+
+def test_quoted_cells(spark):
+    cases = ['a,"b,c",d', '"x ""y"" z",1', 'a,"b', 'a,b",c,"d,e"', '"",,"  q,r "', "plain,text"]
+    want = [["a", "b,c", "d"], ['x "y" z', "1"], ["a,\"b"], ['a,b"', "c", "d,e"], ["", "", "  q,r "],
+            ["plain", "text"]]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, c string")
+    got = df.select("i", statements.split_cells(F.col("c"), F.lit(",")).alias("x")).orderBy("i").collect()
+    assert [r.x for r in got] == want
+
+
+def test_long_prefix_keeps_its_tail(spark):
+    from bookloom.operators import merchant
+    from bookloom.rules import merchants
+
+    text = merchants.LIGHT_PREFIXES[0] + " " + "A" * 1_000_050
+    got = spark.createDataFrame([(text,)], "t string").select(
+        F.length(merchant.light_clean(F.col("t"))).alias("n")).first()
+    assert got.n == 1_000_050
 
 
 def test_correction_log(spark):
