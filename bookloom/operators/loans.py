@@ -52,7 +52,7 @@ def _split(principal, interest, fees, source, evidence) -> Column:
 def manual_split(net: Column, fees: Column, rule: Column) -> Column:
     """By the client's own shares of the amount net of a stated fee."""
     share = rule["fees_pct"]
-    percent = lambda c: F.format_string("%.0f", c.cast("double") * 100)
+    percent = lambda c: F.format_string("%.0f", F.bround(c.cast("double") * 100, 0))
     return _split(
         cents(net * rule["principal_pct"]), cents(net * rule["interest_pct"]),
         F.when(fees.isNull() & (share != 0), cents(net * share)).otherwise(fees), "manual",

@@ -112,10 +112,12 @@ def _(s, d):
 @query("parse_date")
 def _(s, d):
     day = F.to_date("date")
-    raw = F.when(F.col("seq") % 5 == 0, F.date_format(day, "MM/dd/yyyy")) \
-        .when(F.col("seq") % 5 == 1, F.date_format(day, "M-d-yy")) \
-        .when(F.col("seq") % 5 == 2, F.date_format(day, "MM/dd")) \
-        .when(F.col("seq") % 5 == 3, F.concat(F.lit(" "), F.col("date"))).otherwise(F.lit("not a date"))
+    shapes = ["MM/dd/yyyy", "M-d-yy", "MM/dd", " yyyy-MM-dd", "'not a date'", "MMMM d, yyyy",
+              "d MMM yyyy", "yyyy-MM-dd'T'HH:mm:ss", "MM.dd.yyyy", "yyyyMMdd"]
+    raw = F.when(F.dayofmonth(day) > 12, F.date_format(day, "dd/MM/yyyy")) \
+        .otherwise(F.date_format(day, "MM/dd/yyyy"))
+    for k, shape in enumerate(shapes):
+        raw = F.when(F.col("seq") % 11 == k, F.date_format(day, shape)).otherwise(raw)
     return _tx(s, d).select("seq", raw.alias("raw")).withColumn(
         "iso", iso_date(F.col("raw"), derive.DEFAULT_YEAR))
 

@@ -90,8 +90,10 @@ _raw = "CASE seq % 5 WHEN 0 THEN '($' || amount || ')' WHEN 1 THEN ' $ ' || amou
 o("parse_amount", f"""
 SELECT seq, {_raw} AS raw, CAST(CASE seq % 5 WHEN 0 THEN -amount WHEN 1 THEN amount WHEN 2 THEN CAST('1' || lpad(left(CAST(amount AS VARCHAR), 6), 6, '0') AS DECIMAL(18,2)) WHEN 3 THEN -amount END AS VARCHAR) AS parsed FROM tx""", "tx")
 o("parse_date", f"""
-SELECT seq, CASE seq % 5 WHEN 0 THEN strftime(d, '%m/%d/%Y') WHEN 1 THEN strftime(d, '%-m-%-d-%y') WHEN 2 THEN strftime(d, '%m/%d') WHEN 3 THEN ' ' || date ELSE 'not a date' END AS raw,
-  CASE WHEN seq % 5 IN (0, 1, 3) THEN date WHEN seq % 5 = 2 THEN '{_iso_y}' || substr(date, 5) ELSE 'not a date' END AS iso
+SELECT seq, CASE seq % 11 WHEN 0 THEN strftime(d, '%m/%d/%Y') WHEN 1 THEN strftime(d, '%-m-%-d-%y') WHEN 2 THEN strftime(d, '%m/%d') WHEN 3 THEN ' ' || date WHEN 4 THEN 'not a date'
+    WHEN 5 THEN strftime(d, '%B %-d, %Y') WHEN 6 THEN strftime(d, '%-d %b %Y') WHEN 7 THEN date || 'T00:00:00' WHEN 8 THEN strftime(d, '%m.%d.%Y') WHEN 9 THEN strftime(d, '%Y%m%d')
+    ELSE CASE WHEN day(d) > 12 THEN strftime(d, '%d/%m/%Y') ELSE strftime(d, '%m/%d/%Y') END END AS raw,
+  CASE seq % 11 WHEN 2 THEN '{_iso_y}' || substr(date, 5) WHEN 4 THEN 'not a date' ELSE date END AS iso
 FROM (SELECT *, CAST(date AS DATE) AS d FROM tx)""", "tx")
 
 

@@ -235,6 +235,30 @@ def test_schedules_keep_clients_apart(spark):
                      (1, 2): (D("333.00"), "amortization"), (1, 3): None}
 
 
+def test_dates_as_statements_write_them(spark):
+    from bookloom.functions.dates import iso_date
+
+    cases = {"25/12/2024": "2024-12-25", "12/05/2024": "2024-12-05", "March 5, 2024": "2024-03-05",
+             "5 Jan 2024": "2024-01-05", "2024-03-01T10:00:00": "2024-03-01",
+             "03.15.2024": "2024-03-15", "20240315": "2024-03-15", "Sept 3, 2024": "2024-09-03",
+             "SEP 3 2024": "2024-09-03", "3/4": "2023-03-04", "1-2-68": "2068-01-02",
+             "1/2/69": "1969-01-02", "13/13/2024": "13/13/2024", " soon ": "soon"}
+    df = spark.createDataFrame([(k,) for k in cases], "raw string")
+    got = {r.raw: r.iso for r in df.withColumn("iso", iso_date(F.col("raw"), 2023)).collect()}
+    assert got == cases
+
+
+def test_percent_of_manual_split_rounds_half_even(spark):
+    rows = spark.createDataFrame([(1, "b", 1, "2024-01-01", "SBA LOAN PAYMENT", D("1000.00"), "DEBIT")],
+                                 "client_id bigint, batch_id string, seq bigint, date string, "
+                                 "description string, amount decimal(18,2), direction string")
+    shares = spark.createDataFrame([(1, 0, "SBA", D("0.6450"), D("0.3550"), D("0.0000"))],
+                                   "client_id bigint, ordinal int, pattern string, principal_pct "
+                                   "decimal(5,4), interest_pct decimal(5,4), fees_pct decimal(5,4)")
+    evidence = loans.analyze(rows, manual=shares).select("split.evidence").first()[0]
+    assert evidence == "Manual split applied: 64% principal, 36% interest"
+
+
 def test_empty_batch_is_blocked(spark):
     rows = transactions(spark, [("STRIPE PAYOUT", "CREDIT", "10.00")])
     both = batches(spark, D("0.00"), D("10.00")).unionByName(
