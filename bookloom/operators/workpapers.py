@@ -44,9 +44,13 @@ def register(rows: DataFrame) -> DataFrame:
 def category_summary(rows: DataFrame) -> DataFrame:
     """Count, total and last-used account per account name; ranked by total per batch."""
     name = F.coalesce(F.nullif(F.col("account_name"), F.lit("")), F.lit("Uncategorized"))
-    sums = rows.groupBy("batch_id", name.alias("category_name")).agg(
-        F.count("*").alias("count"), total(F.col("amount")).alias("total"),
-        F.max_by("account_code", "seq").alias("account"), F.min("seq").alias("first_seq"))
+    # summed per account with numbers only, so the large aggregation hashes
+    parts = rows.groupBy("batch_id", name.alias("category_name"), "account_code").agg(
+        F.count("*").alias("n"), total(F.col("amount")).alias("part"),
+        F.max("seq").alias("last_seq"), F.min("seq").alias("first_seq"))
+    sums = parts.groupBy("batch_id", "category_name").agg(
+        F.sum("n").alias("count"), total(F.col("part")).alias("total"),
+        F.max_by("account_code", "last_seq").alias("account"), F.min("first_seq").alias("first_seq"))
     order = W.partitionBy("batch_id").orderBy(F.desc("total"), "first_seq")
     return sums.withColumn("position", F.row_number().over(order)).drop("first_seq")
 

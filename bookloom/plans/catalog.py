@@ -63,6 +63,16 @@ def _flagged(spark: SparkSession, folder: str) -> DataFrame:
     return kept
 
 
+def posted(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows that the reports share."""
+    return _analysis(spark, folder).posted
+
+
+def detected(spark: SparkSession, folder: str) -> DataFrame:
+    """The spans that the scrubbing queries share."""
+    return _detected(spark, folder)
+
+
 def _tx(spark, folder) -> DataFrame:
     return derive.transactions(spark, folder)
 

@@ -332,3 +332,33 @@ def test_folder_stream_and_sinks(spark, tmp_path):
     stored = a.use_stored(sinks.materialize(a.posted, str(tmp_path / "posted")))
     sinks.write_package(stored.package, str(tmp_path / "package"))
     assert spark.read.json(str(tmp_path / "package")).select("section").distinct().count() == 11
+
+
+def test_statement_files_to_verdict(spark, tmp_path):
+    folder = tmp_path / "statements"
+    folder.mkdir()
+    (folder / "march.txt").write_text(
+        "FIRST EXAMPLE BANK\nAccount #: ****1234\nStatement Period: December 15 - January 14, 2024\n"
+        "Beginning Balance: $100.00\n01/05  STRIPE PAYOUT 1   50.00\n01/06  SHELL OIL 12   -20.00\n"
+        "Ending Balance: $130.00\n")
+    (folder / "card.csv").write_text('Date,Description,Amount\n2024-01-03,"SYSCO, INC",-9.50\n')
+    (folder / "empty.txt").write_text("nothing to see")
+    q = ingest.read_folder(spark, str(folder), str(tmp_path / "out"), str(tmp_path / "ck2"), 2024)
+    q.awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "out" / "transactions")).drop("run")
+    batches_ = spark.read.parquet(str(tmp_path / "out" / "batches")).drop("run")
+    assert sorted((r.date, r.description, r.amount, r.direction) for r in rows.collect()) == [
+        ("2024-01-03", "SYSCO, INC", D("9.50"), "DEBIT"),
+        ("2024-01-05", "STRIPE PAYOUT 1", D("50.00"), "CREDIT"),
+        ("2024-01-06", "SHELL OIL 12", D("20.00"), "DEBIT")]
+    by_name = {r.source_document.rsplit("/", 1)[-1]: r for r in batches_.collect()}
+    march = by_name["march.txt"]
+    assert (str(march.period_start), str(march.period_end)) == ("2023-12-15", "2024-01-14")
+    assert (march.beginning_balance, march.ending_balance, march.account_last4) == (
+        D("100.00"), D("130.00"), "1234")
+    assert {n: r.success for n, r in by_name.items()} == {
+        "march.txt": True, "card.csv": True, "empty.txt": False}
+    a = Analysis(Inputs(rows, batches_))
+    status = {r.batch_id: r.overall_status for r in a.verdict.collect()}
+    assert len(status) == 3 and status[march.batch_id] != "BLOCKED"
+    assert {r.source_document.rsplit("/", 1)[-1] for r in a.cover.collect()} == set(by_name)
