@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,9 +59,12 @@ def document_of(w: Words, places: np.ndarray) -> np.ndarray:
 
 
 def anchors(docs: DataFrame, window: int, seed: int) -> DataFrame:
-    """doc_id, anchor (hash): a row for each place that is some window's anchor."""
+    """doc_id, anchor (hash): a row for each place that is some window's anchor.
+
+    Rows without an id, and copies, have none."""
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            b = b.filter(pc.and_(b.column(0).is_valid(), b.column(2).is_null()))
             for part in portions(b, 1):
                 w = cut(encoded(part.column(1)))
                 _, at, runs = window_anchors(w, window, seed)
@@ -69,7 +73,7 @@ def anchors(docs: DataFrame, window: int, seed: int) -> DataFrame:
                 yield pa.record_batch([pa.array(ids[document_of(w, at)]),
                                        pa.array(runs[at].view(np.int64))], ["doc_id", "anchor"])
 
-    return docs.mapInArrow(find, "doc_id long, anchor long")
+    return docs.select("doc_id", "text", "copy").mapInArrow(find, "doc_id long, anchor long")
 
 
 def candidates(texts: list[bytes], met: list, window: int, seed: int) -> tuple[Words, np.ndarray]:
@@ -95,17 +99,23 @@ def remove_repeats(docs: DataFrame, window: int = 20, seed: int = 8) -> DataFram
     """doc_id, n_words, n_removed, kept_text (words that stay, joined by blanks), spans (start and
     end, in words, of each maximal repeat that is removed)."""
     rows = docs.select("doc_id", "text")
-    known = rows.where("doc_id is not null and text is not null")
-    seeds = anchors(known, window, seed)
+    # a text that equals an earlier one repeats it from start to end; it needs no seeds
+    prints = rows.where("doc_id is not null").select("doc_id", F.md5("text").alias("print"))
+    first = prints.groupBy("print").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    copies = (prints.join(first.where("n > 1"), "print").where("doc_id > first")
+              .select("doc_id", F.lit(True).alias("copy")).distinct())
+    # every later step shares this one exchange of the texts
+    base = rows.join(copies, "doc_id", "left")
+    seeds = anchors(base, window, seed)
     twice = seeds.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     # distinct anchors of one document: no more than it has words
     met = (seeds.join(twice, "anchor", "left_semi").groupBy("doc_id")
            .agg(F.collect_set("anchor").alias("met")))
-    texts = rows.join(met, "doc_id", "left")
+    texts = base.join(met, "doc_id", "left").select("doc_id", "text", "met", "copy")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in portions(b, 1):
+            for part in portions(b.filter(b.column(2).is_valid()), 1):
                 w, starts = candidates(encoded(part.column(1)), lists(part.column(2)), window, seed)
                 one, two = w.runs(window, Q1)[starts], w.runs(window, Q2, 0x5BF03635)[starts]
                 doc = document_of(w, starts)
@@ -116,7 +126,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, seed: int = 8) -> DataFram
                      pa.array((starts - w.first[doc]).astype(np.int32))],
                     ["one", "two", "doc_id", "at"])
 
-    matches = texts.where("met is not null").select("doc_id", "text", "met").mapInArrow(
+    matches = texts.mapInArrow(
         extend, "one long, two long, doc_id long, at int")
     firsts = (matches.groupBy("one", "two").agg(F.min(F.struct("doc_id", "at")).alias("f"))
               .groupBy("f.doc_id").agg(F.collect_list("f.at").alias("firsts")))
@@ -126,7 +136,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, seed: int = 8) -> DataFram
             for part in portions(b, 1):
                 raw, met_in = encoded(part.column(1)), lists(part.column(2))
                 w, starts = candidates(raw, met_in, window, seed)
-                first, out = lists(part.column(3)), []
+                first, copy, out = lists(part.column(4)), part.column(3).to_pylist(), []
                 doc = document_of(w, starts)
                 edges = np.searchsorted(doc, np.arange(len(raw) + 1))
                 for i, text in enumerate(raw):
@@ -137,8 +147,10 @@ def remove_repeats(docs: DataFrame, window: int = 20, seed: int = 8) -> DataFram
                     np.add.at(step, late, 1)
                     np.add.at(step, late + window, -1)
                     gone = np.cumsum(step)[:n] > 0
+                    if copy[i] and n >= window:
+                        gone[:] = True
                     words = text.split()
-                    if len(late):
+                    if gone.any():
                         words = [x for x, g in zip(words, gone.tolist()) if not g]
                     edge = np.flatnonzero(np.diff(np.r_[False, gone, False]))
                     spans = [{"start": s, "end": e}
@@ -150,6 +162,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, seed: int = 8) -> DataFram
                     [part.column(0), *(pa.array(c, t) for c, t in zip(zip(*out), types))],
                     ["doc_id", "n_words", "n_removed", "kept_text", "spans"])
 
-    return texts.join(firsts, "doc_id", "left").select("doc_id", "text", "met", "firsts").mapInArrow(
+    return texts.join(firsts, "doc_id", "left").select(
+        "doc_id", "text", "met", "copy", "firsts").mapInArrow(
         finish, "doc_id long, n_words long, n_removed long, kept_text string, "
                 "spans array<struct<start:int,end:int>>")
