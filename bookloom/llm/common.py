@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    # lets Python workers that share this machine find the package, wherever the driver was started
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -29,6 +32,16 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Writes df to a new table of the warehouse in buckets of a column: joins on that column then
+    move the other side only."""
+    spark = df.sparkSession
+    name, n = f"{name}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (df.repartition(n, column).write.bucketBy(n, column).sortBy(column)
+     .option("compression", "zstd").saveAsTable(name))
+    return spark.table(name)
+
+
 def remainder(doc_id: str | Column, k: int) -> Column:
     """crc32 of the id written as text, modulo k; it decides which rows are held out."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")) if isinstance(doc_id, str)

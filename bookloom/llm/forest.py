@@ -7,9 +7,10 @@ by step; at the shortest prefix a pair of similarity 0.8 meets in some tree with
 1 - (1 - 0.8**4)**24 > 0.99999. Every candidate is verified on its exact set.
 
 Groups of copies may be huge, so pairs inside a group are never listed: links join nodes into
-classes, and only nodes of different classes of a bucket are compared. Two rounds compare each
-node with one leader of its bucket, which merges near copies at a linear price; the last round
-compares all nodes outside a bucket's largest class with the bucket. A bucket that holds more than
+classes, and only nodes of different classes of a bucket are compared. First each node meets one
+leader of its bucket, at the longest and the shortest prefix of `LED` trees, which merges near
+copies at a linear price (large buckets have several leaders, and they meet one of them). Then, in
+all trees, the nodes outside a bucket's largest class are compared with the bucket. A bucket that holds more than
 `HOT` nodes (one passage in many documents) is first split by a second tree's prefix, as if its
 prefix were twice as long: pairs of 0.8 that meet in two of 24 trees are 0.9999 of all.
 
@@ -27,14 +28,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bookloom.llm.common import settle
+from bookloom.llm.common import bucketed, settle
 from bookloom.llm.wordhash import cut, encoded, mix, portions
 
 TREES, DEPTH, LEAST_DEPTH = 24, 6, 4
+#: Trees in which nodes meet a leader.
+LED = 8
 HOT = 64
+#: Most nodes that a leader meets in one bucket.
+FOLLOWERS = 1_000
 WORD = 5
 #: Most of the 144 sketch bits that may differ: 4.5 standard deviations above 0.8 similarity.
 DIFFER = 31
@@ -45,7 +50,10 @@ TIMES = _rng.integers(0, 2**31, TREES * DEPTH, np.uint32) * np.uint32(2) + np.ui
 
 
 def shingle_sets(texts: list[bytes], n: int = WORD) -> list[np.ndarray]:
-    """Sorted 40-bit hashes of each text's runs of n words."""
+    """Sorted 32-bit hashes of each text's runs of n words.
+
+    Two different runs of a pair of documents share a hash once in four thousand million, so the
+    similarity of two texts of a thousand words is off by less than a hundred thousandth."""
     w = cut([t.lower() for t in texts], NOT_WORD)
     runs, out = w.runs(n), []
     for i in range(len(texts)):
@@ -57,18 +65,16 @@ def shingle_sets(texts: list[bytes], n: int = WORD) -> list[np.ndarray]:
                 mix(w.hashes[a:b] + np.arange(b - a, dtype=np.uint64)))]))
         else:
             found = runs[:0]
-        out.append(np.unique(found >> np.uint64(24)))
+        out.append(np.unique(found >> np.uint64(32)))
     return out
 
 
 def packed(s: np.ndarray) -> bytes:
-    return np.ascontiguousarray(s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+    return s.astype("<u4").tobytes()
 
 
 def unpacked(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // 5, 8), np.uint8)
-    wide[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return wide.view("<u8").ravel()
+    return np.frombuffer(raw, "<u4")
 
 
 def signature(s: np.ndarray) -> np.ndarray:
@@ -82,7 +88,8 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 
 def nodes(docs: DataFrame) -> DataFrame:
-    """doc_id, hi, lo (hash of the set), deep and short (prefixes by tree), bits, members (set)."""
+    """doc_id, hi, lo (hash of the set), deep and short (prefixes by tree; the longest of the first
+    `LED` trees only), bits, members (the set)."""
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
@@ -99,7 +106,7 @@ def nodes(docs: DataFrame) -> DataFrame:
                         key = mix(key * np.uint64(31) + v + np.uint64(1))
                         short = key if d + 1 == LEAST_DEPTH else short
                     bits = np.packbits((sig >> 7 & 1).astype(np.uint8)).tobytes() + bytes(6)
-                    rows.append((hi, lo, key.view(np.int64).tolist(), short.view(np.int64).tolist(),
+                    rows.append((hi, lo, key[:LED].view(np.int64).tolist(), short.view(np.int64).tolist(),
                                  np.frombuffer(bits, "<i8").tolist(), raw))
                 many = pa.list_(pa.int64())
                 yield pa.record_batch(
@@ -163,23 +170,26 @@ def merged(classes: DataFrame, links: DataFrame) -> DataFrame:
         "id", F.coalesce("top", "root").alias("root")), "classes")
 
 
-def leader_pairs(buckets: DataFrame) -> DataFrame:
-    """a, b: each node (key, id, root) with its bucket's leader, where their classes differ."""
-    order = F.struct(F.xxhash64("id", "key").alias("h"), "id", "root")
-    heads = buckets.groupBy("key").agg(F.min(order).alias("head"), F.min("root").alias("lo"),
-                                       F.max("root").alias("hi")).where("lo <> hi")
-    met = buckets.join(heads.select("key", F.col("head.id").alias("leader"),
-                                    F.col("head.root").alias("its")), "key").where("root <> its")
-    return met.select(F.least("id", "leader").alias("a"),
-                      F.greatest("id", "leader").alias("b")).distinct()
+def leader_pairs(rows: DataFrame) -> DataFrame:
+    """a, b: each node (id, key) with a leader of its bucket, and leaders with the first of them."""
+    heads = rows.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1")
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / FOLLOWERS))
+    met = rows.join(heads, "key").select("key", "id", "head", part.alias("part"))
+    leaders = met.groupBy("key", "part", "head").agg(F.min("id").alias("leader"))
+    pairs = met.join(leaders.drop("head"), ["key", "part"]).select("id", "leader").union(
+        leaders.select("leader", "head"))
+    return pairs.where("id <> leader").select(F.least("id", "leader").alias("a"),
+                                              F.greatest("id", "leader").alias("b")).distinct()
 
 
 def split(buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of buckets with several classes: of few nodes, and of many. Adds the largest class."""
-    per = buckets.groupBy("key", "root").agg(F.count("*").alias("n"))
-    sizes = per.groupBy("key").agg(F.sum("n").alias("all"), F.count("*").alias("classes"),
-                                   F.max(F.struct("n", "root")).alias("top")).where("classes > 1")
-    rows = buckets.join(sizes.select("key", "all", F.col("top.root").alias("major")), "key")
+    mixed = buckets.groupBy("key").agg(F.count("*").alias("all"), F.min("root").alias("lo"),
+                                       F.max("root").alias("hi")).where("lo <> hi")
+    rows = settle(buckets.join(mixed.select("key", "all"), "key"), "buckets")
+    major = (rows.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key")
+             .agg(F.max(F.struct("n", "root")).alias("top")).select("key", F.col("top.root").alias("major")))
+    rows = rows.join(major, "key")
     return rows.where(F.col("all") <= HOT), rows.where(F.col("all") > HOT)
 
 
@@ -194,19 +204,19 @@ def cross_pairs(rows: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, least: float = 0.8, count_links: bool = True) -> DataFrame:
     """doc_id, class_id (smallest id of its class), class_size, n_links (other rows that are at
     least `least` alike)."""
-    every = settle(nodes(docs), "nodes")
+    every = bucketed(nodes(docs), "doc_id", "nodes")
     some = every.where(F.length("members") > 0)
     same = settle(some.groupBy("hi", "lo").agg(F.min("doc_id").alias("id"), F.count("*").alias("weight")),
                   "same")
-    first = Window.partitionBy("doc_id").orderBy("hi", "lo")
-    # one row per node: ids that repeat with other sets keep one row each only if they lead a set
-    known = (some.join(same.select("hi", "lo", F.col("id").alias("doc_id")), ["hi", "lo", "doc_id"],
-                       "left_semi").withColumn("k", F.row_number().over(first)).where("k = 1")
-             .select(F.col("doc_id").alias("id"), "deep", "short", "bits", "members"))
-    classes = known.select("id", F.col("id").alias("root"))
-    for prefix in ("deep", "short"):
-        rows = known.select("id", F.explode(prefix).alias("key")).join(classes, "id")
-        classes = merged(classes, verified(leader_pairs(rows), known, least))
+    # the bitwise form is no join key, so that nodes stay in their buckets; repeated rows repeat here
+    own = same.select(F.col("id").alias("doc_id"), F.col("hi").alias("h"), F.col("lo").alias("l"))
+    known = some.join(own, "doc_id").where(
+        F.col("hi").bitwiseXOR(F.col("h")).bitwiseOR(F.col("lo").bitwiseXOR(F.col("l"))) == 0).select(
+        F.col("doc_id").alias("id"), "deep", "short", "bits", "members")
+    classes = settle(same.select("id", F.col("id").alias("root")).where("id is not null"), "classes")
+    led = [leader_pairs(known.select("id", F.explode(F.slice(p, 1, LED)).alias("key")))
+           for p in ("deep", "short")]
+    classes = merged(classes, verified(led[0].union(led[1]).distinct(), known, least))
     rows = known.select("id", F.explode("short").alias("key")).join(classes, "id")
     few, many = split(rows)
     trees = known.select("id", F.posexplode("short").alias("tree", "second"))
@@ -224,7 +234,8 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, count_links: bool = Tru
                                         F.count("*").alias("texts"))
     found = members.join(sizes, "root")
     if count_links:
-        links = link_counts(found.where("texts > 1").join(known.select("id", "members"), "id"), least)
+        links = link_counts(found.where("texts > 1").join(
+            known.select("id", "members").dropDuplicates(["id"]), "id"), least)
         found = found.join(links, "id", "left")
     else:
         found = found.withColumn("links", F.lit(0))
