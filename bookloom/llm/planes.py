@@ -4,9 +4,10 @@ A file holds the ids of consecutive documents. Ids are cut into blocks of `block
 transposed into planes - plane j holds bit j (or byte j) of every id - and each plane that is not
 all zero is compressed. Layout, little-endian:
 
-  8 bytes magic, 4 bytes length of the index, index (JSON), planes one after another
+  8 bytes magic, then big-endian: 4 bytes part and 4 bytes number (the file's place in document
+  order), 8 bytes number of ids, 4 bytes length of the index; index (JSON); planes one after another
 
-The index holds the file's place in document order, per document its id and number of ids, and per
+The index holds per document its id and number of ids, and per
 block the number of ids and each plane's length (0: all bits zero). Readers can seek to a block by
 adding up lengths. A closing line feed ends the file.
 
@@ -26,13 +27,14 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bookloom.llm.common import read_files, settle, write_files
 from bookloom.llm.tokenizer import encoder
 
 MAGIC = b"BITPLANE"
+HEAD = struct.Struct(">IIQI")
 
 
 def split_planes(ids: np.ndarray, width: int, bits: bool) -> list[bytes]:
@@ -72,17 +74,18 @@ def encode_file(part: int, number: int, docs: list[tuple[int | None, bytes]], bl
                   for p in split_planes(part_ids, width, bits)]
         blocks.append([len(part_ids), [len(p) for p in planes]])
         data += planes
-    index = json.dumps({"part": part, "number": number, "bits": bits, "blocks": blocks,
+    index = json.dumps({"bits": bits, "blocks": blocks,
                         "docs": [[d, len(i) // 4] for d, i in docs]}).encode()
-    return b"".join([MAGIC, struct.pack("<I", len(index)), index, *data])
+    return b"".join([MAGIC, HEAD.pack(part, number, len(ids), len(index)), index, *data])
 
 
 def decode_index(content: bytes) -> tuple[dict, int]:
     """The index, and where the planes begin."""
     if content[:8] != MAGIC:
         raise ValueError("not a file of planes")
-    (n,) = struct.unpack_from("<I", content, 8)
-    return json.loads(content[12:12 + n]), 12 + n
+    part, number, _, n = HEAD.unpack_from(content, 8)
+    at = 8 + HEAD.size
+    return json.loads(content[at:at + n]) | {"part": part, "number": number}, at + n
 
 
 def decode_file(content: bytes) -> tuple[dict, np.ndarray]:
@@ -140,17 +143,12 @@ def read_planes(spark: SparkSession, folder: str) -> DataFrame:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)],
                                       ["part", "number", "doc_id", "at", "n_tokens", "ids"])
 
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for content in b.column(0).to_pylist():
-                index, _ = decode_index(content)
-                yield pa.record_batch(
-                    [pa.array([index["part"]], pa.int32()), pa.array([index["number"]], pa.int32()),
-                     pa.array([sum(n for n, _ in index["blocks"])], pa.int64())],
-                    ["part", "number", "n"])
+    def field(at: int, size: int, kind: str) -> Column:
+        return F.conv(F.hex(F.substring("content", at + 1, size)), 16, 10).cast(kind)
 
     files = read_files(spark, folder).select("content")
-    totals = settle(files.mapInArrow(sizes, "part int, number int, n long"), "plane_sizes")
+    totals = settle(files.select(field(8, 4, "int").alias("part"), field(12, 4, "int").alias("number"),
+                                 field(16, 8, "long").alias("n")), "plane_sizes")
     # a row per file; running sums within a part, over the sums of the parts before it
     parts = totals.groupBy("part").agg(F.sum("n").alias("n"))
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
