@@ -10,9 +10,11 @@ Groups of copies may be huge, so pairs inside a group are never listed: links jo
 classes, and only nodes of different classes of a bucket are compared. First each node meets one
 leader of its bucket, at the longest and the shortest prefix of `LED` trees, which merges near
 copies at a linear price (large buckets have several leaders, and they meet one of them). Then, in
-all trees, the nodes outside a bucket's largest class are compared with the bucket. A bucket that holds more than
-`HOT` nodes (one passage in many documents) is first split by a second tree's prefix, as if its
-prefix were twice as long: pairs of 0.8 that meet in two of 24 trees are 0.9999 of all.
+all trees, the nodes outside a bucket's largest class are compared with the bucket.
+
+A bucket of more than `HOT` nodes (in a large corpus, or one passage in many documents) keeps a
+longer prefix: five hashes, then six (pairs of 0.8 that share six in some tree are 0.9993 of all);
+what is still larger is split by a second tree's prefix, which 0.99 of such pairs share.
 
 Links are then counted exactly within each class, in blocks of texts against blocks; the price
 grows with the square of a class's different texts, copies count once, and no pair leaves a task.
@@ -25,6 +27,7 @@ Ties go to the smallest id. Empty tables give no rows; other columns are ignored
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +40,7 @@ from bookloom.llm.wordhash import cut, encoded, mix, portions
 TREES, DEPTH, LEAST_DEPTH = 24, 6, 4
 #: Trees in which nodes meet a leader.
 LED = 8
-HOT = 64
+HOT = 8
 #: Most nodes that a leader meets in one bucket.
 FOLLOWERS = 1_000
 WORD = 5
@@ -88,8 +91,8 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 
 def nodes(docs: DataFrame) -> DataFrame:
-    """doc_id, hi, lo (hash of the set), deep and short (prefixes by tree; the longest of the first
-    `LED` trees only), bits, members (the set)."""
+    """doc_id, hi, lo (hash of the set), deep, mid, short (prefixes of six, five and four hashes by
+    tree), bits, members (the set)."""
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
@@ -101,22 +104,21 @@ def nodes(docs: DataFrame) -> DataFrame:
                     raw = packed(s)
                     hi, lo = np.frombuffer(hashlib.md5(raw).digest(), "<i8").tolist()
                     sig = signature(s)
-                    key, short = trees, None
-                    for d, v in enumerate(sig.reshape(TREES, DEPTH).T.astype(np.uint64)):
+                    key, keys = trees, []
+                    for v in sig.reshape(TREES, DEPTH).T.astype(np.uint64):
                         key = mix(key * np.uint64(31) + v + np.uint64(1))
-                        short = key if d + 1 == LEAST_DEPTH else short
+                        keys.append(key.view(np.int64).tolist())
                     bits = np.packbits((sig >> 7 & 1).astype(np.uint8)).tobytes() + bytes(6)
-                    rows.append((hi, lo, key[:LED].view(np.int64).tolist(), short.view(np.int64).tolist(),
-                                 np.frombuffer(bits, "<i8").tolist(), raw))
+                    rows.append((hi, lo, *keys[:LEAST_DEPTH - 2:-1], np.frombuffer(bits, "<i8").tolist(), raw))
                 many = pa.list_(pa.int64())
                 yield pa.record_batch(
                     [part.column(0), *(pa.array(c, t) for c, t in zip(
-                        zip(*rows), (pa.int64(), pa.int64(), many, many, many, pa.binary())))],
-                    ["doc_id", "hi", "lo", "deep", "short", "bits", "members"])
+                        zip(*rows), (pa.int64(), pa.int64(), many, many, many, many, pa.binary())))],
+                    ["doc_id", "hi", "lo", "deep", "mid", "short", "bits", "members"])
 
     return docs.select("doc_id", "text").mapInArrow(
-        find, "doc_id long, hi long, lo long, deep array<long>, short array<long>, "
-              "bits array<long>, members binary")
+        find, "doc_id long, hi long, lo long, deep array<long>, mid array<long>, "
+              "short array<long>, bits array<long>, members binary")
 
 
 def verified(pairs: DataFrame, known: DataFrame, least: float) -> DataFrame:
@@ -170,34 +172,34 @@ def merged(classes: DataFrame, links: DataFrame) -> DataFrame:
         "id", F.coalesce("top", "root").alias("root")), "classes")
 
 
-def leader_pairs(rows: DataFrame) -> DataFrame:
-    """a, b: each node (id, key) with a leader of its bucket, and leaders with the first of them."""
-    heads = rows.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1")
+def leader_pairs(rows: DataFrame, by: str) -> DataFrame:
+    """a, b: each node (id, `by`) with a leader of its bucket, and leaders with the first of them."""
+    heads = rows.groupBy(by).agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1")
     part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / FOLLOWERS))
-    met = rows.join(heads, "key").select("key", "id", "head", part.alias("part"))
-    leaders = met.groupBy("key", "part", "head").agg(F.min("id").alias("leader"))
-    pairs = met.join(leaders.drop("head"), ["key", "part"]).select("id", "leader").union(
+    met = rows.join(heads, by).select(by, "id", "head", part.alias("part"))
+    leaders = met.groupBy(by, "part", "head").agg(F.min("id").alias("leader"))
+    pairs = met.join(leaders.drop("head"), [by, "part"]).select("id", "leader").union(
         leaders.select("leader", "head"))
     return pairs.where("id <> leader").select(F.least("id", "leader").alias("a"),
                                               F.greatest("id", "leader").alias("b")).distinct()
 
 
-def split(buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of buckets with several classes: of few nodes, and of many. Adds the largest class."""
-    mixed = buckets.groupBy("key").agg(F.count("*").alias("all"), F.min("root").alias("lo"),
-                                       F.max("root").alias("hi")).where("lo <> hi")
-    rows = settle(buckets.join(mixed.select("key", "all"), "key"), "buckets")
-    major = (rows.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key")
-             .agg(F.max(F.struct("n", "root")).alias("top")).select("key", F.col("top.root").alias("major")))
-    rows = rows.join(major, "key")
-    return rows.where(F.col("all") <= HOT), rows.where(F.col("all") > HOT)
+def split(buckets: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of buckets `by` with several classes: of up to HOT nodes, and of more."""
+    mixed = buckets.groupBy(by).agg(F.count("*").alias("all"), F.min("root").alias("lo"),
+                                    F.max("root").alias("hi")).where("lo <> hi")
+    rows = settle(buckets.join(mixed.select(by, "all"), by), "buckets")
+    return rows.where(F.col("all") <= HOT).drop("all"), rows.where(F.col("all") > HOT).drop("all")
 
 
-def cross_pairs(rows: DataFrame) -> DataFrame:
+def cross_pairs(rows: DataFrame, by: str) -> DataFrame:
     """a, b of different classes in one bucket; all but the largest class against the bucket."""
-    minor = rows.where("root <> major").select("key", F.col("id").alias("m"), F.col("root").alias("rm"))
-    met = rows.select("key", "id", "root").join(minor, "key").where(
-        (F.col("root") != F.col("rm")))
+    rows = rows.select(by, "id", "root")
+    major = (rows.groupBy(by, "root").agg(F.count("*").alias("n")).groupBy(by)
+             .agg(F.max(F.struct("n", "root")).alias("top")).select(by, F.col("top.root").alias("major")))
+    minor = rows.join(major, by).where("root <> major").select(
+        by, F.col("id").alias("m"), F.col("root").alias("rm"))
+    met = rows.join(minor, by).where(F.col("root") != F.col("rm"))
     return met.select(F.least("id", "m").alias("a"), F.greatest("id", "m").alias("b")).distinct()
 
 
@@ -212,22 +214,21 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, count_links: bool = Tru
     own = same.select(F.col("id").alias("doc_id"), F.col("hi").alias("h"), F.col("lo").alias("l"))
     known = some.join(own, "doc_id").where(
         F.col("hi").bitwiseXOR(F.col("h")).bitwiseOR(F.col("lo").bitwiseXOR(F.col("l"))) == 0).select(
-        F.col("doc_id").alias("id"), "deep", "short", "bits", "members")
+        F.col("doc_id").alias("id"), "deep", "mid", "short", "bits", "members")
     classes = settle(same.select("id", F.col("id").alias("root")).where("id is not null"), "classes")
-    led = [leader_pairs(known.select("id", F.explode(F.slice(p, 1, LED)).alias("key")))
+    led = [leader_pairs(known.select("id", F.explode(F.slice(p, 1, LED)).alias(f"led_{p}")), f"led_{p}")
            for p in ("deep", "short")]
     classes = merged(classes, verified(led[0].union(led[1]).distinct(), known, least))
-    rows = known.select("id", F.explode("short").alias("key")).join(classes, "id")
-    few, many = split(rows)
-    trees = known.select("id", F.posexplode("short").alias("tree", "second"))
-    own = trees.select("id", F.col("tree").alias("of"), F.col("second").alias("key"))
-    twice = (many.select("id", "key", "root").join(own, ["id", "key"])
-             .join(trees, "id").where("tree > of")
-             .select("id", "root", F.xxhash64("key", "second").alias("key")))
-    finer = split(twice)
-    pairs = cross_pairs(few)
-    for part in finer:
-        pairs = pairs.union(cross_pairs(part))
+    rows = known.select("id", F.inline(F.arrays_zip("short", "mid", "deep"))).join(classes, "id")
+    met = []
+    for by in ("short", "mid", "deep"):
+        few, rows = split(rows, by)
+        met.append(cross_pairs(few, by))
+    others = known.select("id", F.explode("short").alias("second"))
+    twice = rows.join(others, "id").where("second <> short").select(
+        "id", "root", F.xxhash64("deep", "second").alias("both"))
+    met += [cross_pairs(part, "both") for part in split(twice, "both")]
+    pairs = reduce(DataFrame.union, met)
     classes = merged(classes, verified(pairs.distinct(), known, least))
     members = same.join(classes, "id").select("hi", "lo", "id", "root", "weight")
     sizes = members.groupBy("root").agg(F.sum("weight").alias("class_size"),

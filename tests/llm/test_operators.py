@@ -52,7 +52,7 @@ def collected(df, *columns):
 
 # --- tokens
 
-ODD = ["a", "b", ".", ",", "*", "1.", " ", "  ", "\n", "\t", "'s", "é", "́", "\xa0", "\x1c", "!",
+ODD = ["été", "ŉſ", "the", "Word", "a", "b", ".", ",", "*", "1.", " ", "  ", "\n", "\t", "'s", "é", "́", "\xa0", "\x1c", "!",
        "<|endoftext|>", "<|startoftext|>", "中", "Σ", "ß", "\r\n", "\x85", "'", "İ", ">.", "<|"]
 
 
@@ -270,7 +270,7 @@ def shingles(t):
                      [tuple(w)] if w else [])
 
 
-@pytest.mark.parametrize("hot", [64, 2])
+@pytest.mark.parametrize("hot", [8, 2])
 def test_jaccard_join_matches_brute_force(spark, hot, monkeypatch):
     monkeypatch.setattr(forest, "HOT", hot)
     rows = texts(8, 120)
