@@ -1,10 +1,11 @@
 """Similarity join of documents by n-gram Jaccard with a MinHash LSH forest.
 
 A document is the set of its runs of five words (lower case, letters and digits; fewer words are
-one run). Equal sets are one node from the start. Each node has `TREES` sorted tries of `DEPTH`
-minimum hashes. Matched prefixes start long, where only near copies meet, and are shortened step
-by step; at the shortest prefix a pair of similarity 0.8 meets in some tree with probability
-1 - (1 - 0.8**4)**24 > 0.99999. Every candidate is verified on its exact set.
+one run). Equal sets are one node from the start. Each node has `TREES` trees of `DEPTH` minimum
+hashes. The forest is not walked as sorted tries: keys of fixed depth, joined by equality, replace
+it. There are two, the longest prefix, where only near copies meet, and the shortest, whose depth
+follows from `least`: at 0.8 it has four hashes, and a pair meets in some tree with probability
+1 - (1 - 0.8**4)**24 > `RECALL`. Every candidate is verified on its exact set.
 
 Groups of copies may be huge, so pairs inside a group are never listed: links join nodes into
 classes, and only nodes of different classes of a bucket are compared. First each node meets one
@@ -12,9 +13,10 @@ leader of its bucket, at the longest and the shortest prefix of `LED` trees, whi
 copies at a linear price (large buckets have several leaders, and they meet one of them). Then, in
 all trees, the nodes outside a bucket's largest class are compared with the bucket.
 
-A bucket of more than `HOT` nodes (in a large corpus, or one passage in many documents) keeps a
-longer prefix: five hashes, then six (pairs of 0.8 that share six in some tree are 0.9993 of all);
-what is still larger is split by a second tree's prefix, which 0.99 of such pairs share.
+A bucket of more than `HOT` nodes (in a large corpus, or one passage in many documents) is compared
+in blocks of nodes against blocks, on the shortest prefix as well, so whether two documents meet does
+not depend on what else is in their bucket. Only pairs that may be alike by size (exact) and sketch
+leave a task. The price still grows with nodes times nodes outside the largest class.
 
 Links are then counted exactly within each class, in blocks of texts against blocks; the price
 grows with the square of a class's different texts, copies count once, and no pair leaves a task.
@@ -26,8 +28,8 @@ Ties go to the smallest id. Empty tables give no rows; other columns are ignored
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,15 +39,16 @@ from pyspark.sql import functions as F
 from bookloom.llm.common import bucketed, settle
 from bookloom.llm.wordhash import cut, encoded, mix, portions
 
-TREES, DEPTH, LEAST_DEPTH = 24, 6, 4
+TREES, DEPTH = 24, 6
+#: Least share of the pairs of `least` similarity that meet in some tree.
+RECALL = 0.99999
 #: Trees in which nodes meet a leader.
 LED = 8
-HOT = 8
+#: Buckets of more nodes are compared in blocks of so many.
+HOT, BLOCK = 8, 1_000
 #: Most nodes that a leader meets in one bucket.
 FOLLOWERS = 1_000
 WORD = 5
-#: Most of the 144 sketch bits that may differ: 4.5 standard deviations above 0.8 similarity.
-DIFFER = 31
 NOT_WORD = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _rng = np.random.default_rng(7)
 FLIP = _rng.integers(0, 2**32, TREES * DEPTH, np.uint32)
@@ -90,9 +93,23 @@ def signature(s: np.ndarray) -> np.ndarray:
     return best
 
 
-def nodes(docs: DataFrame) -> DataFrame:
-    """doc_id, hi, lo (hash of the set), deep, mid, short (prefixes of six, five and four hashes by
-    tree), bits, members (the set)."""
+def least_depth(least: float) -> int:
+    """Hashes of the longest prefix at which pairs of `least` similarity meet with RECALL."""
+    fit = [d for d in range(1, DEPTH + 1) if 0 < least <= 1 and 1 - (1 - least**d)**TREES >= RECALL]
+    if not fit:
+        raise ValueError(f"{TREES} trees don't find pairs of similarity {least}")
+    return fit[-1]
+
+
+def most_differ(least: float) -> int:
+    """Most of the 144 sketch bits that may differ: 4.5 standard deviations above `least`."""
+    n, share = TREES * DEPTH, (1 - least) / 2
+    return math.ceil(n * share + 4.5 * math.sqrt(n * share * (1 - share)))
+
+
+def nodes(docs: DataFrame, depth: int) -> DataFrame:
+    """doc_id, hi, lo (hash of the set), deep, short (prefixes of DEPTH and `depth` hashes by tree),
+    bits, members (the set)."""
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
@@ -109,16 +126,16 @@ def nodes(docs: DataFrame) -> DataFrame:
                         key = mix(key * np.uint64(31) + v + np.uint64(1))
                         keys.append(key.view(np.int64).tolist())
                     bits = np.packbits((sig >> 7 & 1).astype(np.uint8)).tobytes() + bytes(6)
-                    rows.append((hi, lo, *keys[:LEAST_DEPTH - 2:-1], np.frombuffer(bits, "<i8").tolist(), raw))
+                    rows.append((hi, lo, keys[-1], keys[depth - 1], np.frombuffer(bits, "<i8").tolist(), raw))
                 many = pa.list_(pa.int64())
                 yield pa.record_batch(
                     [part.column(0), *(pa.array(c, t) for c, t in zip(
-                        zip(*rows), (pa.int64(), pa.int64(), many, many, many, many, pa.binary())))],
-                    ["doc_id", "hi", "lo", "deep", "mid", "short", "bits", "members"])
+                        zip(*rows), (pa.int64(), pa.int64(), many, many, many, pa.binary())))],
+                    ["doc_id", "hi", "lo", "deep", "short", "bits", "members"])
 
     return docs.select("doc_id", "text").mapInArrow(
-        find, "doc_id long, hi long, lo long, deep array<long>, mid array<long>, "
-              "short array<long>, bits array<long>, members binary")
+        find, "doc_id long, hi long, lo long, deep array<long>, short array<long>, "
+              "bits array<long>, members binary")
 
 
 def verified(pairs: DataFrame, known: DataFrame, least: float) -> DataFrame:
@@ -126,7 +143,7 @@ def verified(pairs: DataFrame, known: DataFrame, least: float) -> DataFrame:
     bits = known.select("id", "bits")
     close = pairs.join(bits.toDF("a", "a_bits"), "a").join(bits.toDF("b", "b_bits"), "b").where(
         sum(F.bit_count(F.col("a_bits")[i].bitwiseXOR(F.col("b_bits")[i])) for i in range(3))
-        <= DIFFER).select("a", "b")
+        <= most_differ(least)).select("a", "b")
     sets = known.select("id", "members")
     full = close.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
 
@@ -184,29 +201,72 @@ def leader_pairs(rows: DataFrame, by: str) -> DataFrame:
                                               F.greatest("id", "leader").alias("b")).distinct()
 
 
-def split(buckets: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
-    """Rows of buckets `by` with several classes: of up to HOT nodes, and of more."""
-    mixed = buckets.groupBy(by).agg(F.count("*").alias("all"), F.min("root").alias("lo"),
-                                    F.max("root").alias("hi")).where("lo <> hi")
-    rows = settle(buckets.join(mixed.select(by, "all"), by), "buckets")
-    return rows.where(F.col("all") <= HOT).drop("all"), rows.where(F.col("all") > HOT).drop("all")
+def split(buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of buckets `short` with several classes: of up to HOT nodes, and of more."""
+    mixed = buckets.groupBy("short").agg(F.count("*").alias("all"), F.min("root").alias("lo"),
+                                         F.max("root").alias("hi")).where("lo <> hi")
+    rows = settle(buckets.join(mixed.select("short", "all"), "short"), "buckets")
+    return rows.where(F.col("all") <= HOT).drop("all"), rows.where(F.col("all") > HOT)
 
 
-def cross_pairs(rows: DataFrame, by: str) -> DataFrame:
+def largest(rows: DataFrame) -> DataFrame:
+    """short, major (its largest class), most (nodes in that)."""
+    return (rows.groupBy("short", "root").agg(F.count("*").alias("n")).groupBy("short")
+            .agg(F.max(F.struct("n", "root")).alias("top"))
+            .select("short", F.col("top.root").alias("major"), F.col("top.n").alias("most")))
+
+
+def cross_pairs(rows: DataFrame) -> DataFrame:
     """a, b of different classes in one bucket; all but the largest class against the bucket."""
-    rows = rows.select(by, "id", "root")
-    major = (rows.groupBy(by, "root").agg(F.count("*").alias("n")).groupBy(by)
-             .agg(F.max(F.struct("n", "root")).alias("top")).select(by, F.col("top.root").alias("major")))
-    minor = rows.join(major, by).where("root <> major").select(
-        by, F.col("id").alias("m"), F.col("root").alias("rm"))
-    met = rows.join(minor, by).where(F.col("root") != F.col("rm"))
+    rows = rows.select("short", "id", "root")
+    minor = rows.join(largest(rows), "short").where("root <> major").select(
+        "short", F.col("id").alias("m"), F.col("root").alias("rm"))
+    met = rows.join(minor, "short").where(F.col("root") != F.col("rm"))
     return met.select(F.least("id", "m").alias("a"), F.greatest("id", "m").alias("b")).distinct()
 
 
+def block_pairs(rows: DataFrame, least: float) -> DataFrame:
+    """The a, b of cross_pairs() that may be alike: rows (short, id, root, bits, size, all) are dealt
+    in blocks, those outside the largest class (left) against all of the bucket (right)."""
+    most = most_differ(least)
+
+    def deal(n: str) -> tuple:
+        blocks = F.ceil(F.expr(n) / BLOCK).cast("int")
+        return F.pmod(F.xxhash64("id"), blocks).cast("int"), F.sequence(F.lit(0), blocks - 1)
+
+    (i, every_i), (j, every_j) = deal("all - most"), deal("all")
+    minor = F.col("root") != F.col("major")
+    left = F.transform(every_j, lambda k: F.struct(i.alias("i"), k.alias("j"), F.lit(True).alias("left")))
+    right = F.transform(every_i, lambda k: F.struct(k.alias("i"), j.alias("j"), F.lit(False).alias("left")))
+    met = rows.join(largest(rows), "short").select(
+        "short", "id", "root", "size", minor.alias("minor"),
+        *(F.col("bits")[k].alias(f"bits_{k}") for k in range(3)),
+        F.inline(F.when(minor, F.concat(left, right)).otherwise(right)))
+
+    def compare(key: tuple, t: pa.Table) -> pa.Table:
+        side = t.column("left").to_numpy()
+        x, y = ({c: t.column(c).to_numpy()[at] for c in t.column_names if c != "short"}
+                for at in (np.flatnonzero(side), np.flatnonzero(~side)))
+        a, b = [], []
+        for at in range(0, len(x["id"]), 256):
+            u = {c: v[at:at + 256, None] for c, v in x.items()}
+            # two nodes outside the largest class meet twice
+            ok = (u["root"] != y["root"]) & (~y["minor"] | (u["id"] < y["id"]))
+            ok &= np.minimum(u["size"], y["size"]) >= least * np.maximum(u["size"], y["size"])
+            ok &= sum(np.bitwise_count((u[c] ^ y[c]).view(np.uint64)) for c in ("bits_0", "bits_1", "bits_2")) <= most
+            p, q = np.nonzero(ok)
+            a.append(u["id"][p, 0])
+            b.append(y["id"][q])
+        a, b = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (a, b))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return met.groupBy("short", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, least: float = 0.8, count_links: bool = True) -> DataFrame:
     """doc_id, class_id (smallest id of its class), class_size, n_links (other rows that are at
     least `least` alike)."""
-    every = bucketed(nodes(docs), "doc_id", "nodes")
+    every = bucketed(nodes(docs, least_depth(least)), "doc_id", "nodes")
     some = every.where(F.length("members") > 0)
     same = settle(some.groupBy("hi", "lo").agg(F.min("doc_id").alias("id"), F.count("*").alias("weight")),
                   "same")
@@ -214,21 +274,14 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, count_links: bool = Tru
     own = same.select(F.col("id").alias("doc_id"), F.col("hi").alias("h"), F.col("lo").alias("l"))
     known = some.join(own, "doc_id").where(
         F.col("hi").bitwiseXOR(F.col("h")).bitwiseOR(F.col("lo").bitwiseXOR(F.col("l"))) == 0).select(
-        F.col("doc_id").alias("id"), "deep", "mid", "short", "bits", "members")
+        F.col("doc_id").alias("id"), "deep", "short", "bits", "members")
     classes = settle(same.select("id", F.col("id").alias("root")).where("id is not null"), "classes")
     led = [leader_pairs(known.select("id", F.explode(F.slice(p, 1, LED)).alias(f"led_{p}")), f"led_{p}")
            for p in ("deep", "short")]
     classes = merged(classes, verified(led[0].union(led[1]).distinct(), known, least))
-    rows = known.select("id", F.inline(F.arrays_zip("short", "mid", "deep"))).join(classes, "id")
-    met = []
-    for by in ("short", "mid", "deep"):
-        few, rows = split(rows, by)
-        met.append(cross_pairs(few, by))
-    others = known.select("id", F.explode("short").alias("second"))
-    twice = rows.join(others, "id").where("second <> short").select(
-        "id", "root", F.xxhash64("deep", "second").alias("both"))
-    met += [cross_pairs(part, "both") for part in split(twice, "both")]
-    pairs = reduce(DataFrame.union, met)
+    few, many = split(known.select("id", "bits", F.length("members").alias("size"),
+                                   F.explode("short").alias("short")).join(classes, "id"))
+    pairs = cross_pairs(few).union(block_pairs(many, least))
     classes = merged(classes, verified(pairs.distinct(), known, least))
     members = same.join(classes, "id").select("hi", "lo", "id", "root", "weight")
     sizes = members.groupBy("root").agg(F.sum("weight").alias("class_size"),

@@ -309,6 +309,57 @@ def test_jaccard_join_repeated_ids(spark):
     assert forest.keep(docs).count() == 2
 
 
+def test_jaccard_join_pairs_of_short_prefixes_in_large_buckets(spark, monkeypatch):
+    """Pairs that share four or five hashes in some tree, but six in none, are found in large buckets."""
+    for name, value in (("HOT", 1), ("LED", 0), ("BLOCK", 3)):
+        monkeypatch.setattr(forest, name, value)
+    r, rows = random.Random(3), []
+    while len(rows) < 4:
+        own = [f"w{r.random()}" for _ in range(50)]
+        other = own[:45] + [f"w{r.random()}" for _ in range(5)]
+        x, y = (forest.signature(forest.shingle_sets([" ".join(w).encode()])[0]).reshape(forest.TREES, -1)
+                for w in (own, other))
+        same = (x == y).cumprod(axis=1).sum(axis=1).max()
+        if 4 <= same < 6:
+            rows += [" ".join(own), " ".join(other)]
+    assert all(0.8 <= len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+               for a, b in zip(rows[::2], rows[1::2]))
+    got = forest.near_duplicates(documents(spark, rows))
+    assert collected(got, "doc_id", "class_id", "n_links") == [(i, i // 2 * 2, 1) for i in range(4)]
+
+
+def test_jaccard_join_blocks_match_brute_force(spark, monkeypatch):
+    for name, value in (("HOT", 1), ("LED", 0), ("BLOCK", 7)):
+        monkeypatch.setattr(forest, name, value)
+    base, r, rows = [f"w{i}" for i in range(60)], random.Random(9), []
+    for _ in range(50):
+        own = list(base)
+        for _ in range(r.randint(0, 3)):
+            own[r.randrange(60)] = f"z{r.random()}"
+        rows.append(" ".join(own))
+    sets = [shingles(t) for t in rows]
+    links = [sum(i != j and len(s & o) >= 0.8 * len(s | o) for j, o in enumerate(sets))
+             for i, s in enumerate(sets)]
+    assert len(set(links)) > 2
+    got = forest.near_duplicates(documents(spark, rows))
+    assert collected(got, "doc_id", "n_links") == sorted(enumerate(links), key=repr)
+
+
+def test_jaccard_join_at_other_similarities(spark):
+    """At 0.5 pairs meet and pass the sketch as they do at 0.8; what the trees can't find is refused."""
+    r, rows = random.Random(4), []
+    for _ in range(30):
+        own = [f"w{r.random()}" for _ in range(80)]
+        rows += [" ".join(own), " ".join(own[:55] + [f"w{r.random()}" for _ in range(25)])]
+    got = forest.near_duplicates(documents(spark, rows), least=0.5)
+    assert collected(got, "doc_id", "class_id", "n_links") == sorted(
+        ((i, i // 2 * 2, 1) for i in range(60)), key=repr)
+    assert [forest.least_depth(x) for x in (0.5, 0.8, 1.0)] == [1, 4, 6]
+    assert forest.most_differ(0.8) == 31
+    with pytest.raises(ValueError):
+        forest.near_duplicates(documents(spark, rows), least=0.2)
+
+
 # --- benchmark decontamination
 
 ITEM = ("A farmer in the quiet valley sold 12 melons for 30 dollars, then Anna bought 12 more and "
