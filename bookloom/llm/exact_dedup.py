@@ -63,14 +63,20 @@ class DigestIndex:
          .bucketBy(self.buckets, "text_sha256").sortBy("text_sha256").mode("append")
          .saveAsTable(self.table))
 
+    def hot(self, batch: DataFrame) -> DataFrame:
+        """text_sha256, keep_id, group_size of the digests with over a thousandth of the batch's rows,
+        a thousand at most, however large the index is."""
+        rows = batch.count()
+        many = batch.groupBy("text_sha256").count().where(F.col("count") * HOT_SHARE > rows)
+        index = self.rows().select("text_sha256", "keep_id", "group_size")
+        return settle(index.join(F.broadcast(many.select("text_sha256")), "text_sha256"), "hot_digests")
+
     def decide(self, batch: DataFrame) -> DataFrame:
         """doc_id, keep_id, group_size, kept, text_sha256 of each row of an appended batch.
 
-        Digests with over a thousandth of the rows, a thousand at most, are broadcast; the others
-        meet the index by sort-merge join."""
+        The digests of hot() are broadcast; the others meet the index by sort-merge join."""
         index = self.rows().select("text_sha256", "keep_id", "group_size")
-        rows = batch.count()
-        hot = index.where(F.col("group_size") * HOT_SHARE > rows)
+        hot = self.hot(batch)
         is_hot = F.broadcast(hot)
         few = batch.join(is_hot, "text_sha256")
         rest = batch.join(F.broadcast(hot.select("text_sha256")), "text_sha256", "left_anti")

@@ -227,6 +227,16 @@ def test_digest_index_persists(spark):
     spark.sql(f"DROP TABLE {index.table}")
 
 
+def test_a_small_batch_broadcasts_no_large_index(spark):
+    index = exact_dedup.DigestIndex(spark)
+    exact_dedup.exact_dedup(documents(spark, [f"text {i}" for i in range(2_000)]), index)
+    batch = exact_dedup.digests(documents(spark, ["text 7", "new", "new"]))
+    index.append(batch)
+    assert sorted(r.group_size for r in index.hot(batch).collect()) == [1, 2]
+    assert collected(index.decide(batch), "doc_id", "keep_id", "kept") == [
+        (0, 7, False), (1, 1, True), (2, 1, False)]
+
+
 def test_exact_dedup_keeps_whole_rows(spark):
     docs = documents(spark, ["a", "a", None, "b"], source="s")
     assert collected(exact_dedup.keep(docs), "doc_id", "text", "source") == [
