@@ -1,13 +1,13 @@
-"""Repeated passages by seed and extend.
+"""Repeated passages by anchors and window hashes.
 
 Seeds: of every `seed`-word run in each window of `window` words, the one with the smallest hash
 is the window's anchor (winnowing, leftmost on ties). Equal windows have equal anchors at the same
-place, so a passage that repeats shares anchors. Documents meet on anchors by hash join; an anchor
-that occurs once rules out all its windows.
+place, so a passage that repeats shares anchors. Anchors are a semi-join filter: one that occurs
+once rules out all its windows.
 
-Extend: from each anchor that is met again, the match is extended left and right over all windows
-that hold it, by 128-bit hashes of their words; where neighbouring anchors match too, extensions
-run on, so the union of matching windows is the maximal repeat. Windows, not pairs of documents,
+Window hashes replace the pairwise extension of seeds, since pairs within a passage group would be
+unbounded: all windows of an anchor that occurs again are compared by 128-bit hashes of their words,
+and the union of matching windows is the maximal repeat. Windows, not pairs of documents,
 are compared: a passage in a third of all documents costs a row per occurrence, summed before the
 shuffle. The occurrence with the smallest (doc_id, start) stays; words covered by any later one
 are removed. What is first is judged on the input, not on what is left.
