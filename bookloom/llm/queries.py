@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookloom.llm import arc, decontam, exact_dedup, forest, language, packing, planes, repeats, token_count, toxicity
+from bookloom.llm import (arc, decontam, exact_dedup, forest, language, minhash, packing, phrases, planes, repair,
+                          repeats, token_count, toxicity)
 from bookloom.llm.common import scratch, table
 from bookloom.llm.tokenizer import default_path
 
@@ -65,11 +66,25 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.language_of(table(spark, folder, "documents"))
 
 
+def op11_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.damaged_and_repaired(table(spark, folder, "conversations"))
+
+
+def op12_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents"))
+
+
+def op13_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_packing, op4_jaccard_join, op5_warc, op6_exact_dedup, op7_repeats, op8_toxicity, op9_planes,
-                            op10_language)}
+    f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_packing, op4_jaccard_join, op5_warc,
+                            op6_exact_dedup, op7_repeats, op8_toxicity, op9_planes, op10_language,
+                            op11_conversations, op12_minhash, op13_phrases)}
 
-ORACLES = {"op2_decontamination": decontam.oracle(), "op6_exact_dedup": r"""
+ORACLES = {"op2_decontamination": decontam.oracle(), "op11_conversations": repair.oracle(),
+           "op12_minhash": minhash.ORACLE, "op13_phrases": phrases.ORACLE, "op6_exact_dedup": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 h AS (SELECT doc_id, length(t) AS points,
              sha256(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS text_sha256 FROM d)
