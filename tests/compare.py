@@ -48,7 +48,8 @@ def main() -> None:
 
     folder, wanted = sys.argv[1], sys.argv[2:]
     spark = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
-             .config("spark.ui.enabled", "false").config("spark.driver.memory", "12g").getOrCreate())
+             .config("spark.ui.enabled", "false").config("spark.driver.memory", "12g")
+             .config("spark.ui.showConsoleProgress", "false").getOrCreate())
     spark.sparkContext.setLogLevel("OFF")
     con, sql, bad = duck(folder), e.oracle_sql(), 0
     for name, query in e.queries().items():
