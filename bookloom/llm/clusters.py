@@ -76,6 +76,12 @@ def named(prints: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFrame:
     return sets.join(ids, "root").select("hi", "lo", "id", "root", "class_id")
 
 
+def shared(rows: DataFrame) -> DataFrame:
+    """The rows (key, id) of buckets with several nodes."""
+    many = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    return settle(rows.join(many, "key").select("key", "id"), "shared")
+
+
 def leader_pairs(rows: DataFrame, percent: int, longs: int) -> DataFrame:
     """a, b: each node (key, id, bits) with a leader of its bucket, and leaders with the first."""
     heads = rows.groupBy("key").agg(F.min(F.struct("id", "bits")).alias("head"),

@@ -150,9 +150,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     every = settle(prints(docs), "prints")
     nodes = clusters.node_table(sketches(docs), "minhash")
     sets, classes = nodes.select("id", "members"), nodes.select("id", F.col("id").alias("root"))
-    led = clusters.leader_pairs(nodes.select("id", "bits", F.explode("bands").alias("key")), percent, LONGS)
+    shared = clusters.shared(nodes.select("id", F.explode("bands").alias("key")))
+    led = clusters.leader_pairs(shared.join(nodes.select("id", "bits"), "id"), percent, LONGS)
     classes = clusters.merged(classes, clusters.verified(led, sets, percent), components)
-    rows = nodes.join(classes, "id").select("id", "root", "size", "bits", F.explode("bands").alias("key"))
+    rows = shared.join(nodes.select("id", "size", "bits"), "id").join(classes, "id")
     classes = clusters.merged(classes, clusters.block_links(rows, sets, percent), components)
     some = every.where("size > 0")
     names = clusters.named(some, nodes, classes).select("hi", "lo", F.col("class_id").alias("component_id"))
