@@ -33,7 +33,7 @@ FREQUENT = 10_000
 #: Suffixes in a group of prefixes.
 BUDGET = 200_000
 #: Bytes of text that are summed at once.
-PORTION = 4_000_000
+PORTION = 6_000_000
 #: Parts in which a language's phrases are ranked at first.
 RANKED = 64
 ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -100,8 +100,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def suffixes(docs: DataFrame, frequent: set[tuple[str, str]]) -> DataFrame:
-    """lang, head (two words), tail (the third, or empty), depth (words of the prefix that decides
-    its part), n."""
+    """suffix (language, tab, two words, blank, third word or nothing), depth (words of the prefix that
+    decides its part), n."""
     hot: dict[str, list[str]] = {}
     for lang, word in frequent:
         hot.setdefault(lang, []).append(word)
@@ -122,23 +122,23 @@ def suffixes(docs: DataFrame, frequent: set[tuple[str, str]]) -> DataFrame:
                 return mix((h[i] * np.uint64(times) + h[i + 1]) * np.uint64(times) + last)
 
             first, count = distinct(key(one, Q1), key(two, Q2))
-            i = i[first]
-            long = third[i]
-            tail = joined(w, [np.minimum(i + 2, n - 1)])
-            tail = pc.if_else(pa.array(long), tail, "")
-            if lang in hot:
-                own = np.unique(words_hash(hot[lang]))
-                common = np.isin(one[i], own) if len(own) else np.zeros(len(i), bool)
-                common_2 = np.isin(one[i + 1], own)
-            else:
-                common = common_2 = np.zeros(len(i), bool)
-            depth = 1 + common.astype(np.int8) + (common & common_2)
+            order = np.lexsort((one[i[first] + 1], one[i[first]]))  # like rows stand together, which packs well
+            i, count = i[first][order], count[order]
+            tail = pc.if_else(pa.array(third[i]), joined(w, [np.minimum(i + 2, n - 1)]), "")
+            own = words_hash(hot.get(lang, []))
+            common, common_2 = np.isin(one[i], own), np.isin(one[i + 1], own)
+            depth = (1 + common + (common & common_2)).astype(np.int8)
             yield pa.record_batch(
-                [pa.array([lang] * len(i), pa.string()), joined(w, [i, i + 1]), tail,
-                 pa.array(depth.astype(np.int8)), pa.array(count, pa.int64())],
-                ["lang", "head", "tail", "depth", "n"])
+                [pc.binary_join_element_wise(pc.binary_join_element_wise(
+                    lang, joined(w, [i, i + 1]), "\t"), tail, " "),
+                 pa.array(depth), pa.array(count, pa.int64())], ["suffix", "depth", "n"])
 
-    return source(docs).mapInArrow(find, "lang string, head string, tail string, depth byte, n long")
+    return source(docs).mapInArrow(find, "suffix string, depth byte, n long")
+
+
+#: A suffix's language, head (two words) and tail; words hold neither tabs nor blanks.
+ROW = ["suffix", "depth", "n"]
+SUFFIX = r"(?s)^(?P<lang>.*)\t(?P<head>[^ ]* [^ ]*) (?P<tail>[^ ]*)$"
 
 
 def words_hash(words: list[str]) -> np.ndarray:
@@ -146,27 +146,40 @@ def words_hash(words: list[str]) -> np.ndarray:
 
 
 def groups(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[tuple[pa.Table, bool]]:
-    """Sorted rows in groups of whole heads with up to about `budget` rows; False: the last head of the
-    group goes on in the next."""
-    rest: list[pa.RecordBatch] = []
+    """Sorted rows (suffix, depth, n), equal ones summed, in groups of whole heads with up to about
+    `budget` rows: lang, head, tail, depth, n. False: the last head of the group goes on in the next."""
+    rest: list[pa.Table] = []
     held = 0
+
+    def joint() -> pa.Table:
+        return pa.concat_tables(rest).combine_chunks()
+
     for b in batches:
-        rest.append(b)
+        rest.append(pa.Table.from_batches([b]).select(ROW))
         held += b.num_rows
         if held < budget:
             continue
-        t = pa.Table.from_batches(rest).combine_chunks()
+        t = parsed(joint())
         edge = np.flatnonzero(new_heads(t))
-        if len(edge) > 1:
-            yield t.slice(0, edge[-1]), True
-            t = t.slice(edge[-1])
-        else:  # one prefix beyond the budget is cut at a longer one
-            edge = np.flatnonzero(changes(t, "tail"))
-            yield t.slice(0, edge[-1]), False
-            t = t.slice(edge[-1])
-        rest, held = t.to_batches(), t.num_rows
-    if rest:
-        yield pa.Table.from_batches(rest).combine_chunks(), True
+        # a prefix beyond the budget is cut at longer ones
+        whole_heads = len(edge) > 1
+        at = int(edge[-1]) if whole_heads else t.num_rows - 1
+        if at:
+            yield t.slice(0, at).drop_columns("suffix"), whole_heads
+        rest = [t.slice(at).select(ROW)]
+        held = rest[0].num_rows
+    if rest and held:
+        yield parsed(joint()).drop_columns("suffix"), True
+
+
+def parsed(t: pa.Table) -> pa.Table:
+    leaf = np.flatnonzero(changes(t, "suffix"))
+    sums = np.add.reduceat(t.column("n").to_numpy(), leaf)
+    t = t.take(leaf).set_column(ROW.index("n"), "n", pa.array(sums)).combine_chunks()
+    parts = pc.extract_regex(t.column("suffix").combine_chunks(), SUFFIX)
+    for name in ("lang", "head", "tail"):
+        t = t.append_column(name, pc.struct_field(parts, name))
+    return t
 
 
 def changes(t: pa.Table, column: str) -> np.ndarray:
@@ -187,28 +200,23 @@ def tree_counts(parts: DataFrame, least: int, budget: int) -> DataFrame:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_head = None
         for t, ended in groups(batches, budget):
-            if not t.num_rows:
-                continue
-            n, head = t.column("n").to_numpy(), new_heads(t)
-            leaf = np.flatnonzero(head | changes(t, "tail"))
-            node = np.flatnonzero(head)
-            totals = np.add.reduceat(n, leaf)  # of leaves
-            sums = np.add.reduceat(totals, np.searchsorted(leaf, node))
-            names = (t.column("lang")[int(node[0])].as_py(), t.column("head")[int(node[0])].as_py())
+            n = t.column("n").to_numpy()  # of leaves
+            node = np.flatnonzero(new_heads(t))
+            sums = np.add.reduceat(n, node)
+            heads = t.select(["lang", "head"]).take(node)
+            ends = [(heads.column("lang")[k].as_py(), heads.column("head")[k].as_py()) for k in (0, -1)]
             shared = t.column("depth").to_numpy()[node] == 3
-            shared[0] |= names == open_head
-            if not ended:
-                shared[-1] = True
-            at = int(node[-1])
-            open_head = (t.column("lang")[at].as_py(), t.column("head")[at].as_py()) if not ended else None
+            shared[0] |= ends[0] == open_head
+            shared[-1] |= not ended
+            open_head = None if ended else ends[1]
             keep = (sums >= least) | shared
-            two = t.take(node[keep])
-            deep = (totals >= least) & pc.not_equal(t.column("tail"), "").to_numpy()[leaf]
-            three = t.take(leaf[deep])
+            two = heads.filter(pa.array(keep))
+            deep = (n >= least) & pc.not_equal(t.column("tail"), "").to_numpy()
+            three = t.filter(pa.array(deep))
             for rows, phrase, k, f in (
                     (two, two.column("head"), 2, sums[keep]),
                     (three, pc.binary_join_element_wise(three.column("head"), three.column("tail"), " "),
-                     3, totals[deep])):
+                     3, n[deep])):
                 if rows.num_rows:
                     yield from pa.table({
                         "lang": rows.column("lang"), "phrase": phrase,
@@ -225,9 +233,8 @@ def frequencies(docs: DataFrame, least: int, budget: int = BUDGET,
     hot = {(r["lang"], r["phrase"]) for r in  # fewer than `frequent` rows
            words.where(F.col("f") * frequent > total).select("lang", "phrase").collect()}
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    prefix = F.when(F.col("depth") == 1, F.substring_index("head", " ", 1)).when(
-        F.col("depth") == 2, F.col("head")).otherwise(F.concat_ws(" ", "head", "tail"))
-    parts = suffixes(docs, hot).repartition(n, "lang", prefix).sortWithinPartitions("lang", "head", "tail")
+    prefix = F.expr("substring_index(suffix, ' ', int(depth))")
+    parts = suffixes(docs, hot).repartition(n, prefix).sortWithinPartitions("suffix")
     counts = tree_counts(parts, least, budget).groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f")).where(
         F.col("f") >= least)
     return words, settle(counts, "phrases")

@@ -236,9 +236,8 @@ def test_scores_beyond_64_bits(spark):
 def test_groups_cut_large_prefixes():
     import pyarrow as pa
 
-    rows = [("en", f"a {i // 7}", f"t{i % 7}", 1, 1) for i in range(70)]
-    batches = [pa.record_batch([pa.array(c) for c in zip(*rows[i:i + 4])], ["lang", "head", "tail", "depth", "n"])
-               for i in range(0, 70, 4)]
+    rows = [(f"en\ta {i // 7} t{i % 7}", 1, 1) for i in range(70)]
+    batches = [pa.record_batch([pa.array(c) for c in zip(*rows[i:i + 4])], phrases.ROW) for i in range(0, 70, 4)]
     got = list(phrases.groups(iter(batches), 5))
     assert sum(t.num_rows for t, _ in got) == 70 and max(t.num_rows for t, _ in got) <= 12
     assert not all(ended for _, ended in got)
