@@ -7,13 +7,14 @@ words before and after it.
 Documents are labelled as a whole, so words get their labels by contrast: in toxic documents a word
 counts as toxic if it stands between many different words there (copies of a text add nothing) and
 `odds` times as often as in clean ones. The field is trained on those labels by gradient steps with
-forward-backward; it then generalises by prefixes and neighbours. Training reads up to `toxic`
-and `clean` labelled texts, those with the smallest hash of their id, of at most `longest` bytes.
+forward-backward, in one task of the cluster; it then generalises by prefixes and neighbours. It reads
+up to `toxic` and `clean` different labelled texts, those with the smallest hashes, of at most `longest`
+bytes.
 
 A document's score is a logistic function, fitted on the same texts, of the sum of its words'
 marginals and of that sum per hundred words; null, empty and wordless texts score as texts without
 toxic words, and everything scores near 0 if no toxic row teaches. Repeated rows are scored
-one by one; other columns are ignored.
+one by one, rows without an id are never held out; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bookloom.llm.common import remainder
-from bookloom.llm.wordhash import BYTE, P, Words, cut, encoded, portions, spans_hash
+from bookloom.llm.common import remainder, sample, text_hash, trained
+from bookloom.llm.wordhash import BYTE, P, Words, cut, encoded, mix, portions, spans_hash
 
 SIZE = 1 << 18
 CHAIN = 48
@@ -121,8 +122,9 @@ def stands_out(key: np.ndarray, around: np.ndarray, doc: np.ndarray, texts: int,
     counts = []
     for side in (False, True):
         own = doc == side
-        pair = np.unique(np.stack([at[own].astype(np.uint64), around[own]], axis=1), axis=0)
-        counts.append(np.bincount(pair[:, 0].astype(np.int64), minlength=len(keys)))
+        which, beside = at[own], around[own]
+        _, first = np.unique(mix(which.astype(np.uint64) + np.uint64(P) * beside), return_index=True)
+        counts.append(np.bincount(which[first], minlength=len(keys)))
     clean, toxic = counts
     ratio = (toxic + 0.5) / (toxic.sum() + 1) / ((clean + 0.5) / (clean.sum() + 1))
     least = max(3, share * texts)
@@ -207,20 +209,15 @@ def fit(texts: list[bytes], label: np.ndarray, rounds: int = 6, spare: int = 40_
     return model
 
 
-def train(labelled: DataFrame, toxic: int = 2_000, clean: int = 3_000,
+def train(docs: DataFrame, marks: DataFrame, toxic: int = 2_000, clean: int = 3_000,
           longest: int = 20_000) -> Field:
-    """labelled: doc_id, text, toxic."""
-    rows = labelled.where("text is not null and toxic is not null").where(
-        F.octet_length("text") <= longest).select(
-        "doc_id", "text", (F.col("toxic") == 1).alias("bad"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)).alias("h"))
-    n = {r["bad"]: r["n"] for r in rows.groupBy("bad").agg(F.count("*").alias("n")).collect()}
-    share = F.when(F.col("bad"), min(1.0, 1.2 * toxic / max(1, n.get(True, 0)))).otherwise(
-        min(1.0, 1.2 * clean / max(1, n.get(False, 0))))
-    taken = rows.where(F.col("h") < share * 1_000_003).toPandas().sort_values(["h", "doc_id"])
-    bad = taken["bad"].to_numpy(bool) if len(taken) else np.zeros(0, bool)
-    taken = [*taken[bad][:toxic].itertuples(), *taken[~bad][:clean].itertuples()] if len(bad) else []
-    return fit([r.text.encode() for r in taken], np.array([r.bad for r in taken], bool))
+    """docs: doc_id, text; marks: doc_id, toxic. The fit runs in one task, on the bounded sample."""
+    rows = docs.where("text is not null").where(F.octet_length("text") <= longest)
+    hashes = rows.select("doc_id", text_hash().alias("h")).join(marks, "doc_id").select(
+        (F.col("toxic") == 1).alias("label"), "h")
+    taken = sample(hashes, rows, F.when(F.col("label"), toxic).otherwise(clean))
+    return trained(taken, lambda found: fit([t.encode() for _, t in found],
+                                            np.array([bad for bad, _ in found], bool)))
 
 
 def score(docs: DataFrame, model: Field, tagged: float = 0.5) -> DataFrame:
@@ -237,14 +234,15 @@ def score(docs: DataFrame, model: Field, tagged: float = 0.5) -> DataFrame:
                 beta, x = shared.value.text, totals(w, p)
                 scores = 1 / (1 + np.exp(-np.clip(beta[0] + x @ beta[1:], -30, 30)))
                 spans = []
-                for i, text in enumerate(raw):
-                    own = slice(w.first[i], w.first[i + 1])
-                    m = p[own]
-                    spans.append([{"start": len(text[:a].decode()), "end": len(text[:z].decode()),
-                                   "probability": float(q)}
-                                  for a, z, q in zip(w.starts[own][m >= tagged] - base[i],
-                                                     w.ends[own][m >= tagged] - base[i],
-                                                     m[m >= tagged])])
+                # characters before each byte: all but the bytes that go on with one
+                chars = np.r_[0, np.cumsum((w.data & 0xC0) != 0x80)]
+                for i in range(len(raw)):
+                    at = np.arange(w.first[i], w.first[i + 1])
+                    at = at[p[at] >= tagged]
+                    begin = chars[base[i]]
+                    spans.append([{"start": a, "end": z, "probability": q} for a, z, q in zip(
+                        (chars[w.starts[at]] - begin).tolist(), (chars[w.ends[at]] - begin).tolist(),
+                        p[at].tolist())])
                 kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()),
                                            ("probability", pa.float64())]))
                 yield pa.record_batch([part.column(0), pa.array(scores, pa.float64()),
@@ -258,9 +256,8 @@ def score(docs: DataFrame, model: Field, tagged: float = 0.5) -> DataFrame:
 def toxicity_of(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted, spans; learned from labelled rows not held out."""
     held = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
-    taught = docs.select("doc_id", "text").where(~held).join(
-        labels.select("doc_id", "toxic").where("toxic is not null")
-        .groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id")
-    return score(docs, train(taught)).select(
+    marks = labels.select("doc_id", "toxic").where("toxic is not null").groupBy("doc_id").agg(
+        F.max("toxic").alias("toxic"))
+    return score(docs, train(docs.select("doc_id", "text").where(~held), marks)).select(
         "doc_id", held.alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"), "spans")
