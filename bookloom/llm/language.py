@@ -2,12 +2,14 @@
 
 Features are hashed byte trigrams of the lower-cased text, letters only, as square roots of counts
 at unit length; they cover the whole text. Both levels are linear support vector machines, learned
-by dual coordinate descent. Training uses up to `per_language` texts of each language, those with
-the smallest hash of their id and at most `longest` bytes; that bound is a parameter.
+by dual coordinate descent, in one task of the cluster. Training uses up to `per_language` different
+texts of each of the thousand commonest languages, those with the smallest hashes and at most `longest`
+bytes; these bounds are parameters.
 
 A null text, or one without a letter, is `und` with score 0. Rows whose language is null teach
 nothing. Without any labelled row every text is `und`. Ties between languages go to the first by
-name. Repeated rows are judged one by one; other columns are ignored, and passed on by `keep`.
+name. Repeated rows are judged one by one, and rows without an id teach like others; other columns are
+ignored, and passed on by `keep`.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bookloom.llm.common import remainder
+from bookloom.llm.common import remainder, sample, text_hash, trained
 
 #: Families of related languages; a language not named here is a family of its own.
 FAMILIES = {"en": "germanic", "de": "germanic", "nl": "germanic", "sv": "germanic",
@@ -96,25 +98,25 @@ class Model:
 
 
 def train(labelled: DataFrame, per_language: int = 800, longest: int = 20_000) -> Model:
-    """labelled: text, lang, key (spread evenly: it decides which rows teach)."""
-    rows = labelled.select("text", "lang", "key").where(
-        "text is not null and lang is not null").where(
+    """labelled: text, lang. The fit runs in one task of the cluster, on the bounded sample."""
+    rows = labelled.where("text is not null and lang is not null").where(
         F.octet_length("text") <= longest)
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    share = F.lit(0.0)
-    for lang, n in counts.items():  # some more than needed, cut to the smallest keys below
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.3 * per_language / n))).otherwise(share)
-    spread = F.pmod(F.xxhash64("key"), F.lit(1_000_003))
-    taken = rows.withColumn("h", spread).where(F.col("h") < share * 1_000_003).toPandas()
-    taken = taken.sort_values(["h", "key"], kind="stable").groupby("lang").head(per_language)
-    taken = taken[[bool(LETTER.search(t)) for t in taken["text"]]] if len(taken) else taken
-    langs = sorted(set(taken["lang"]))
+    hashes = rows.select(F.col("lang").alias("label"), text_hash().alias("h"))
+    return trained(sample(hashes, rows, F.lit(per_language)), fit)
+
+
+def fit(rows: list[tuple[str, str]]) -> Model:
+    """rows: lang, text."""
+    rows = [(lang, t) for lang, t in rows if LETTER.search(t)]
+    langs = sorted({lang for lang, _ in rows})
     family = {lang: FAMILIES.get(lang, lang) for lang in langs}
     groups: dict[str, list[str]] = {}
     for lang in langs:
         groups.setdefault(family[lang], []).append(lang)
-    x = np.array([features(t) for t in taken["text"]], np.float32) if len(taken) else np.zeros((0, SIZE))
-    y = np.array(taken["lang"], object)
+    x = np.zeros((len(rows), SIZE), np.float32)
+    for i, (_, t) in enumerate(rows):
+        x[i] = features(t)
+    y = np.array([lang for lang, _ in rows], object)
     f = np.array([family[lang] for lang in y], object)
 
     def machines(labels: np.ndarray, names: list[str]) -> dict:
@@ -130,13 +132,12 @@ def train(labelled: DataFrame, per_language: int = 800, longest: int = 20_000) -
     return Model(groups, machines(f, list(groups)), pairs)
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs, with lang_pred and lang_score (clashing names are replaced)."""
+def identify(docs: DataFrame, model: Model, names: tuple[str, str]) -> DataFrame:
+    """All columns of docs, and the language and its score by the names given."""
     from pyspark.sql import types as T
 
-    docs = docs.drop("lang_pred", "lang_score")
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()),
-                           T.StructField("lang_score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()),
+                           T.StructField(names[1], T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
@@ -145,26 +146,26 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             found = [shared.value.predict(t) for t in b.column(at).to_pylist()]
             yield pa.record_batch(
                 [*b.columns, pa.array([p for p, _ in found], pa.string()),
-                 pa.array([s for _, s in found], pa.float64())],
-                [*b.schema.names, "lang_pred", "lang_score"])
+                 pa.array([s for _, s in found], pa.float64())], [*b.schema.names, *names])
 
     return docs.mapInArrow(judge, schema)
 
 
-def training_rows(docs: DataFrame, held: Column) -> DataFrame:
-    return docs.where(~held).select("text", "lang", F.col("doc_id").alias("key"))
+def held_out() -> Column:
+    """A null id is not held out."""
+    return F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))
 
 
 def keep(docs: DataFrame, least: float = 0.05) -> DataFrame:
     """The rows of docs with a language, unchanged: not `und`, and a score of `least` or more."""
-    model = train(training_rows(docs, remainder("doc_id", 3) == 1))
-    return (identify(docs, model).where((F.col("lang_pred") != "und") & (F.col("lang_score") >= least))
-            .select(*docs.columns))
+    names = tuple(next(f"{base}{k}" for k in itertools.count() if f"{base}{k}" not in docs.columns)
+                  for base in ("_lang", "_score"))
+    found = identify(docs, train(docs.where(~held_out())), names)
+    return found.where((F.col(names[0]) != "und") & (F.col(names[1]) >= least)).select(*docs.columns)
 
 
 def language_of(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score; learned from the rows that are not held out."""
-    held = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))
-    model = train(training_rows(docs, held))
-    return identify(docs.select("doc_id", "text"), model).select(
-        "doc_id", held.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+    names = ("lang_pred", "score")
+    found = identify(docs.select("doc_id", "text"), train(docs.where(~held_out())), names)
+    return found.select("doc_id", held_out().alias("held_out"), *names)
