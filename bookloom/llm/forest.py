@@ -1,53 +1,52 @@
 """Similarity join of documents by n-gram Jaccard with a MinHash LSH forest.
 
 A document is the set of its runs of five words (lower case, letters and digits; fewer words are
-one run). Equal sets are one node from the start. Each node has `TREES` trees of `DEPTH` minimum
-hashes. The forest is not walked as sorted tries: keys of fixed depth, joined by equality, replace
-it. There are two, the longest prefix, where only near copies meet, and the shortest, whose depth
-follows from `least`: at 0.8 it has four hashes, and a pair meets in some tree with probability
-1 - (1 - 0.8**4)**24 > `RECALL`. Every candidate is verified on its exact set.
-
-Groups of copies may be huge, so pairs inside a group are never listed: links join nodes into
-classes, and only nodes of different classes of a bucket are compared. First each node meets one
-leader of its bucket, at the longest and the shortest prefix of `LED` trees, which merges near
-copies at a linear price (large buckets have several leaders, and they meet one of them). Then, in
-all trees, the nodes outside a bucket's largest class are compared with the bucket.
-
-A bucket of more than `HOT` nodes (in a large corpus, or one passage in many documents) is compared
-in blocks of nodes against blocks, on the shortest prefix as well, so whether two documents meet does
-not depend on what else is in their bucket. Only pairs that may be alike by size (exact) and sketch
-leave a task. The price still grows with nodes times nodes outside the largest class.
+one run). Equal sets are one node from the start. Each node has `TREES` signatures of `DEPTH` minimum
+hashes; a signature is a path in a trie of its own. The tries are kept as one table of the paths that
+share their shortest used prefix with another node's; its levels are read from the longest prefix on, sorted and
+merged by prefix.
+
+Walking down a level at a time, each node meets a leader of its trie node, and matches contract to
+classes before the prefixes are shortened by one: near copies merge where prefixes are long and few nodes
+share them, and later meet as one class. Shortening ends at the first length d with
+1 - (1 - least**d)**TREES >= `RECALL`, the share of pairs of `least` similarity that meet in some tree
+(six hashes at 0.95, four at 0.8). On that level all that still differs is compared: the nodes outside a
+trie node's largest class with all of it, in blocks, by sketch and by set. Every candidate is verified on
+its whole set. No pairs of a class are listed and a block returns a spanning forest of its links (see
+`clusters`), so rows follow nodes, not pairs.
 
 Links are then counted exactly within each class, in blocks of texts against blocks; the price
 grows with the square of a class's different texts, copies count once, and no pair leaves a task.
 
 Null, empty and wordless texts have no set: each is a class of its own without links. Repeated rows
-count as copies; null ids are nodes like others where their set has another id, else class null.
-Ties go to the smallest id. Empty tables give no rows; other columns are ignored.
+count as copies, and rows without an id take part like others; a class of such rows only has a null
+class_id. Ties go to the smallest id. Empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from bookloom.llm.common import bucketed, settle
+from bookloom.llm import clusters
+from bookloom.llm.clusters import packed, unpacked
+from bookloom.llm.common import settle
+from bookloom.llm.minhash import components
 from bookloom.llm.wordhash import cut, encoded, mix, portions
 
 TREES, DEPTH = 24, 6
+#: The sketch has one bit of each of the first hashes, in so many longs.
+LONGS = 2
 #: Least share of the pairs of `least` similarity that meet in some tree.
 RECALL = 0.99999
-#: Trees in which nodes meet a leader.
-LED = 8
-#: Buckets of more nodes are compared in blocks of so many.
-HOT, BLOCK = 8, 1_000
-#: Most nodes that a leader meets in one bucket.
-FOLLOWERS = 1_000
+#: Sets that a task remembers.
+SEEN = 200_000
 WORD = 5
 NOT_WORD = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _rng = np.random.default_rng(7)
@@ -56,10 +55,7 @@ TIMES = _rng.integers(0, 2**31, TREES * DEPTH, np.uint32) * np.uint32(2) + np.ui
 
 
 def shingle_sets(texts: list[bytes], n: int = WORD) -> list[np.ndarray]:
-    """Sorted 32-bit hashes of each text's runs of n words.
-
-    Two different runs of a pair of documents share a hash once in four thousand million, so the
-    similarity of two texts of a thousand words is off by less than a hundred thousandth."""
+    """Sorted distinct 64-bit hashes of each text's runs of n words."""
     w = cut([t.lower() for t in texts], NOT_WORD)
     runs, out = w.runs(n), []
     for i in range(len(texts)):
@@ -71,28 +67,29 @@ def shingle_sets(texts: list[bytes], n: int = WORD) -> list[np.ndarray]:
                 mix(w.hashes[a:b] + np.arange(b - a, dtype=np.uint64)))]))
         else:
             found = runs[:0]
-        out.append(np.unique(found >> np.uint64(32)))
+        out.append(np.unique(found))
     return out
 
 
-def packed(s: np.ndarray) -> bytes:
-    return s.astype("<u4").tobytes()
-
-
-def unpacked(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, "<u4")
-
-
 def signature(s: np.ndarray) -> np.ndarray:
     """Minimum of the set under each hash function."""
     h = (mix(s) >> np.uint64(32)).astype(np.uint32)
     best = np.full(TREES * DEPTH, 2**32 - 1, np.uint32)
     for at in range(0, len(h), 1024):
-        x = (h[at:at + 1024, None] ^ FLIP) * TIMES
-        np.minimum(best, x.min(axis=0), out=best)
+        np.minimum(best, ((h[at:at + 1024, None] ^ FLIP) * TIMES).min(axis=0), out=best)
     return best
 
 
+def prefixes(sig: np.ndarray) -> np.ndarray:
+    """Hash of each tree's prefix of each length: DEPTH rows of TREES."""
+    key = np.arange(TREES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    rows = []
+    for v in sig.reshape(TREES, DEPTH).T.astype(np.uint64):
+        key = mix(key * np.uint64(31) + v + np.uint64(1))
+        rows.append(key.view(np.int64))
+    return np.array(rows)
+
+
 def least_depth(least: float) -> int:
     """Hashes of the longest prefix at which pairs of `least` similarity meet with RECALL."""
     fit = [d for d in range(1, DEPTH + 1) if 0 < least <= 1 and 1 - (1 - least**d)**TREES >= RECALL]
@@ -101,210 +98,108 @@ def least_depth(least: float) -> int:
     return fit[-1]
 
 
-def most_differ(least: float) -> int:
-    """Most of the 144 sketch bits that may differ: 4.5 standard deviations above `least`."""
-    n, share = TREES * DEPTH, (1 - least) / 2
-    return math.ceil(n * share + 4.5 * math.sqrt(n * share * (1 - share)))
+def digest(s: np.ndarray) -> list[int]:
+    return np.frombuffer(hashlib.md5(s.tobytes()).digest(), "<i8").tolist()
 
 
-def nodes(docs: DataFrame, depth: int) -> DataFrame:
-    """doc_id, hi, lo (hash of the set), deep, short (prefixes of DEPTH and `depth` hashes by tree),
-    bits, members (the set)."""
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
+def prints(docs: DataFrame) -> DataFrame:
+    """The columns of docs other than text, with _size (of the set), _hi, _lo (its digest)."""
+    kept = [f for f in docs.schema.fields if f.name != "text"]
+    more = [T.StructField(n, T.LongType()) for n in ("_size", "_hi", "_lo")]
 
-        trees = np.arange(TREES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in portions(b, 1):
-                rows = []
-                for s in shingle_sets(encoded(part.column(1))):
-                    raw = packed(s)
-                    hi, lo = np.frombuffer(hashlib.md5(raw).digest(), "<i8").tolist()
-                    sig = signature(s)
-                    key, keys = trees, []
-                    for v in sig.reshape(TREES, DEPTH).T.astype(np.uint64):
-                        key = mix(key * np.uint64(31) + v + np.uint64(1))
-                        keys.append(key.view(np.int64).tolist())
-                    bits = np.packbits((sig >> 7 & 1).astype(np.uint8)).tobytes() + bytes(6)
-                    rows.append((hi, lo, keys[-1], keys[depth - 1], np.frombuffer(bits, "<i8").tolist(), raw))
-                many = pa.list_(pa.int64())
+            for part in portions(b, b.num_columns - 1):
+                sets = shingle_sets(encoded(part.column(b.num_columns - 1)))
+                hi, lo = zip(*(digest(s) for s in sets))
                 yield pa.record_batch(
-                    [part.column(0), *(pa.array(c, t) for c, t in zip(
-                        zip(*rows), (pa.int64(), pa.int64(), many, many, many, pa.binary())))],
-                    ["doc_id", "hi", "lo", "deep", "short", "bits", "members"])
-
-    return docs.select("doc_id", "text").mapInArrow(
-        find, "doc_id long, hi long, lo long, deep array<long>, short array<long>, "
-              "bits array<long>, members binary")
+                    [*part.columns[:-1], *(pa.array(c, pa.int64()) for c in ([len(s) for s in sets], hi, lo))],
+                    [*[f.name for f in kept], "_size", "_hi", "_lo"])
 
+    return docs.select(*[f.name for f in kept], "text").mapInArrow(find, T.StructType([*kept, *more]))
 
-def verified(pairs: DataFrame, known: DataFrame, least: float) -> DataFrame:
-    """a, b of the pairs whose sets have a Jaccard similarity of at least `least`."""
-    bits = known.select("id", "bits")
-    close = pairs.join(bits.toDF("a", "a_bits"), "a").join(bits.toDF("b", "b_bits"), "b").where(
-        sum(F.bit_count(F.col("a_bits")[i].bitwiseXOR(F.col("b_bits")[i])) for i in range(3))
-        <= most_differ(least)).select("a", "b")
-    sets = known.select("id", "members")
-    full = close.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
 
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def sketches(docs: DataFrame, depth: int) -> DataFrame:
+    """hi, lo, size, paths (for each tree its prefixes of `depth` to DEPTH hashes, longest first), bits,
+    members of the sets that aren't empty; a task tells most sets it meets again only once."""
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        many, seen = pa.list_(pa.int64()), set()
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.list_(many), many, pa.binary())
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = unpacked(x), unpacked(y)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(common >= least * (len(x) + len(y) - common))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return full.select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """v, root of each end of the edges (a, b): root is the smallest id that can be reached."""
-    both = settle(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    label = both.groupBy(F.col("a").alias("v")).agg(F.least("a", F.min("b")).alias("root"))
-    label = settle(label, "labels")
-    while True:
-        near = both.join(label.toDF("b", "other"), "b").groupBy("a").agg(F.min("other").alias("other"))
-        step = label.join(near.withColumnRenamed("a", "v"), "v").select(
-            "v", "root", F.least("root", "other").alias("new"))
-        jump = label.toDF("new", "up")
-        after = settle(step.join(jump, "new").select(
-            "v", "root", F.least("new", "up").alias("new")), "labels")
-        if after.where("new <> root").isEmpty():
-            return after.select("v", F.col("new").alias("root"))
-        label = after.select("v", F.col("new").alias("root"))
-
-
-def merged(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """classes (id, root) after the links (a, b)."""
-    of = classes.select(F.col("id"), F.col("root"))
-    edges = (links.join(of.toDF("a", "ra"), "a").join(of.toDF("b", "rb"), "b")
-             .where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
-    edges = settle(edges, "links")
-    if edges.isEmpty():
-        return classes
-    up = components(edges)
-    return settle(classes.join(up.toDF("root", "top"), "root", "left").select(
-        "id", F.coalesce("top", "root").alias("root")), "classes")
-
-
-def leader_pairs(rows: DataFrame, by: str) -> DataFrame:
-    """a, b: each node (id, `by`) with a leader of its bucket, and leaders with the first of them."""
-    heads = rows.groupBy(by).agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1")
-    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / FOLLOWERS))
-    met = rows.join(heads, by).select(by, "id", "head", part.alias("part"))
-    leaders = met.groupBy(by, "part", "head").agg(F.min("id").alias("leader"))
-    pairs = met.join(leaders.drop("head"), [by, "part"]).select("id", "leader").union(
-        leaders.select("leader", "head"))
-    return pairs.where("id <> leader").select(F.least("id", "leader").alias("a"),
-                                              F.greatest("id", "leader").alias("b")).distinct()
-
-
-def split(buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of buckets `short` with several classes: of up to HOT nodes, and of more."""
-    mixed = buckets.groupBy("short").agg(F.count("*").alias("all"), F.min("root").alias("lo"),
-                                         F.max("root").alias("hi")).where("lo <> hi")
-    rows = settle(buckets.join(mixed.select("short", "all"), "short"), "buckets")
-    return rows.where(F.col("all") <= HOT).drop("all"), rows.where(F.col("all") > HOT)
-
-
-def largest(rows: DataFrame) -> DataFrame:
-    """short, major (its largest class), most (nodes in that)."""
-    return (rows.groupBy("short", "root").agg(F.count("*").alias("n")).groupBy("short")
-            .agg(F.max(F.struct("n", "root")).alias("top"))
-            .select("short", F.col("top.root").alias("major"), F.col("top.n").alias("most")))
-
-
-def cross_pairs(rows: DataFrame) -> DataFrame:
-    """a, b of different classes in one bucket; all but the largest class against the bucket."""
-    rows = rows.select("short", "id", "root")
-    minor = rows.join(largest(rows), "short").where("root <> major").select(
-        "short", F.col("id").alias("m"), F.col("root").alias("rm"))
-    met = rows.join(minor, "short").where(F.col("root") != F.col("rm"))
-    return met.select(F.least("id", "m").alias("a"), F.greatest("id", "m").alias("b")).distinct()
-
-
-def block_pairs(rows: DataFrame, least: float) -> DataFrame:
-    """The a, b of cross_pairs() that may be alike: rows (short, id, root, bits, size, all) are dealt
-    in blocks, those outside the largest class (left) against all of the bucket (right)."""
-    most = most_differ(least)
-
-    def deal(n: str) -> tuple:
-        blocks = F.ceil(F.expr(n) / BLOCK).cast("int")
-        return F.pmod(F.xxhash64("id"), blocks).cast("int"), F.sequence(F.lit(0), blocks - 1)
-
-    (i, every_i), (j, every_j) = deal("all - most"), deal("all")
-    minor = F.col("root") != F.col("major")
-    left = F.transform(every_j, lambda k: F.struct(i.alias("i"), k.alias("j"), F.lit(True).alias("left")))
-    right = F.transform(every_i, lambda k: F.struct(k.alias("i"), j.alias("j"), F.lit(False).alias("left")))
-    met = rows.join(largest(rows), "short").select(
-        "short", "id", "root", "size", minor.alias("minor"),
-        *(F.col("bits")[k].alias(f"bits_{k}") for k in range(3)),
-        F.inline(F.when(minor, F.concat(left, right)).otherwise(right)))
-
-    def compare(key: tuple, t: pa.Table) -> pa.Table:
-        side = t.column("left").to_numpy()
-        x, y = ({c: t.column(c).to_numpy()[at] for c in t.column_names if c != "short"}
-                for at in (np.flatnonzero(side), np.flatnonzero(~side)))
-        a, b = [], []
-        for at in range(0, len(x["id"]), 256):
-            u = {c: v[at:at + 256, None] for c, v in x.items()}
-            # two nodes outside the largest class meet twice
-            ok = (u["root"] != y["root"]) & (~y["minor"] | (u["id"] < y["id"]))
-            ok &= np.minimum(u["size"], y["size"]) >= least * np.maximum(u["size"], y["size"])
-            ok &= sum(np.bitwise_count((u[c] ^ y[c]).view(np.uint64)) for c in ("bits_0", "bits_1", "bits_2")) <= most
-            p, q = np.nonzero(ok)
-            a.append(u["id"][p, 0])
-            b.append(y["id"][q])
-        a, b = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (a, b))
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return met.groupBy("short", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+            for part in portions(b, 0):
+                rows = []
+                for s in shingle_sets(encoded(part.column(0))):
+                    hi, lo = digest(s)
+                    if not len(s) or (hi, lo) in seen:
+                        continue
+                    if len(seen) < SEEN:
+                        seen.add((hi, lo))
+                    sig = signature(s)
+                    bits = np.packbits((sig[:64 * LONGS] >> 7 & 1).astype(np.uint8)).view("<i8")
+                    paths = prefixes(sig)[depth - 1:][::-1].T
+                    rows.append((hi, lo, len(s), list(paths), bits, packed(s)))
+                if rows:
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)],
+                                          ["hi", "lo", "size", "paths", "bits", "members"])
+
+    return docs.select("text").mapInArrow(
+        find, "hi long, lo long, size int, paths array<array<long>>, bits array<long>, members binary")
+
+
+def classes_of(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """prints of docs; nodes (id, hi, lo, members, …); classes (id, root)."""
+    percent, depth = round(100 * least), least_depth(least)
+    every = settle(prints(docs.select("doc_id", "text")), "prints")
+    nodes = clusters.node_table(sketches(docs, depth), "forest")
+    sets, classes = nodes.select("id", "members"), nodes.select("id", F.col("id").alias("root"))
+    paths = nodes.select("id", F.explode("paths").alias("path"))
+    levels = DEPTH - depth + 1
+    many = paths.groupBy(F.col("path")[levels - 1].alias("key")).agg(F.count("*").alias("n")).where("n > 1")
+    tries = settle(paths.withColumn("key", F.col("path")[levels - 1]).join(many.select("key"), "key").select(
+        "id", "path"), "tries")
+    bits = nodes.select("id", "bits")
+    for level in range(levels):
+        rows = tries.select("id", F.col("path")[level].alias("key")).join(classes, "id")
+        mixed = rows.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q")
+        met = rows.join(mixed.select("key"), "key").select("key", "id").join(bits, "id")
+        led = clusters.leader_pairs(met, percent, LONGS)
+        if level:
+            led = led.join(classes.toDF("a", "ra"), "a").join(classes.toDF("b", "rb"), "b").where(
+                "ra <> rb").select("a", "b")
+        classes = clusters.merged(classes, clusters.verified(led, sets, percent), components)
+    rows = tries.select("id", F.col("path")[levels - 1].alias("key")).join(
+        nodes.select("id", "size", "bits"), "id").join(classes, "id")
+    classes = clusters.merged(classes, clusters.block_links(rows, sets, percent), components)
+    return every, nodes, classes
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8, count_links: bool = True) -> DataFrame:
     """doc_id, class_id (smallest id of its class), class_size, n_links (other rows that are at
-    least `least` alike)."""
-    every = bucketed(nodes(docs, least_depth(least)), "doc_id", "nodes")
-    some = every.where(F.length("members") > 0)
-    same = settle(some.groupBy("hi", "lo").agg(F.min("doc_id").alias("id"), F.count("*").alias("weight")),
-                  "same")
-    # the bitwise form is no join key, so that nodes stay in their buckets; repeated rows repeat here
-    own = same.select(F.col("id").alias("doc_id"), F.col("hi").alias("h"), F.col("lo").alias("l"))
-    known = some.join(own, "doc_id").where(
-        F.col("hi").bitwiseXOR(F.col("h")).bitwiseOR(F.col("lo").bitwiseXOR(F.col("l"))) == 0).select(
-        F.col("doc_id").alias("id"), "deep", "short", "bits", "members")
-    classes = settle(same.select("id", F.col("id").alias("root")).where("id is not null"), "classes")
-    led = [leader_pairs(known.select("id", F.explode(F.slice(p, 1, LED)).alias(f"led_{p}")), f"led_{p}")
-           for p in ("deep", "short")]
-    classes = merged(classes, verified(led[0].union(led[1]).distinct(), known, least))
-    few, many = split(known.select("id", "bits", F.length("members").alias("size"),
-                                   F.explode("short").alias("short")).join(classes, "id"))
-    pairs = cross_pairs(few).union(block_pairs(many, least))
-    classes = merged(classes, verified(pairs.distinct(), known, least))
-    members = same.join(classes, "id").select("hi", "lo", "id", "root", "weight")
-    sizes = members.groupBy("root").agg(F.sum("weight").alias("class_size"),
-                                        F.count("*").alias("texts"))
+    least `least` alike, a whole number of hundredths)."""
+    every, nodes, classes = classes_of(docs, least)
+    some = every.where("_size > 0").select("doc_id", F.col("_hi").alias("hi"), F.col("_lo").alias("lo"))
+    weights = some.groupBy("hi", "lo").agg(F.count("*").alias("weight"))
+    members = clusters.named(some, nodes, classes).join(weights, ["hi", "lo"])
+    sizes = members.groupBy("root").agg(F.sum("weight").alias("class_size"), F.count("*").alias("texts"))
     found = members.join(sizes, "root")
     if count_links:
-        links = link_counts(found.where("texts > 1").join(
-            known.select("id", "members").dropDuplicates(["id"]), "id"), least)
+        links = link_counts(found.where("texts > 1").join(nodes.select("id", "members"), "id"), least)
         found = found.join(links, "id", "left")
     else:
         found = found.withColumn("links", F.lit(0))
-    found = found.select("hi", "lo", F.col("root").alias("class_id"), "class_size",
+    found = found.select("hi", "lo", "class_id", "class_size",
                          (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    lone = every.where(F.length("members") == 0).select(
+    lone = every.where("_size = 0").select(
         "doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"),
         F.lit(0).cast("long").alias("n_links"))
-    return some.select("doc_id", "hi", "lo").join(found, ["hi", "lo"], "left").select(
-        "doc_id", "class_id", F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")).unionByName(lone)
+    return some.join(found, ["hi", "lo"]).select(
+        "doc_id", "class_id", F.col("class_size").cast("long").alias("class_size"),
+        F.col("n_links").cast("long").alias("n_links")).unionByName(lone)
 
 
 def link_counts(rows: DataFrame, least: float, block: int = 200) -> DataFrame:
     """id, links: rows (id, root, texts, weight, members) of its class that are alike."""
+    percent = round(100 * least)
     n = F.ceil(F.col("texts") / block).cast("int")
     own = F.pmod(F.xxhash64("id"), n).cast("int")
     other = F.explode(F.sequence(F.lit(0), n - 1))
@@ -320,7 +215,7 @@ def link_counts(rows: DataFrame, least: float, block: int = 200) -> DataFrame:
         left = np.flatnonzero(side == i)
         right = left if i == j else np.flatnonzero(side == j)
         common = overlaps([sets[k] for k in left], [sets[k] for k in right])
-        alike = common >= least * (size[left][:, None] + size[right][None, :] - common)
+        alike = 100 * common >= percent * (size[left][:, None] + size[right][None, :] - common)
         if i == j:
             np.fill_diagonal(alike, False)
             links = alike @ weight[right]
@@ -354,8 +249,21 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096)
     return out
 
 
-def keep(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose id is their class's, unchanged: one document of each group."""
-    stay = near_duplicates(docs, count_links=False).where(
-        F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_id"]), "left_semi")
+def keep(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """One row of docs for each class, unchanged: that whose id is the class's. Of a class without any id
+    one row stays; rows without words all stay."""
+    every, nodes, classes = classes_of(docs, least)
+    some = every.where("_size > 0").select("doc_id", F.col("_hi").alias("hi"), F.col("_lo").alias("lo"))
+    names = clusters.named(some, nodes, classes)
+    lone = every.where("_size = 0").select(F.col("doc_id").alias("_id"))
+    stay = names.where("class_id is not null").select(F.col("class_id").alias("_id")).union(lone).distinct()
+    # the digests tell which rows without an id belong together; docs may have a column of any name
+    nameless = docs.where("doc_id is null")
+    whole = F.struct(*[F.col(c) for c in docs.columns])
+    marked = prints(nameless.select(whole.alias("_row"), "text"))
+    roots = names.where("class_id is null").select(F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), "root")
+    one = marked.join(roots, ["_hi", "_lo"]).groupBy("root").agg(
+        F.min_by("_row", F.xxhash64("_row")).alias("_row")).select("_row.*")
+    wordless = marked.where("_size = 0").select("_row.*")
+    kept = docs.where("doc_id is not null").join(stay, F.col("doc_id") == F.col("_id"), "left_semi")
+    return kept.union(one).union(wordless)

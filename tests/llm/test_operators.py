@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bookloom.llm import (arc, decontam, exact_dedup, forest, language, packing, planes, repeats,
+from bookloom.llm import (arc, clusters, decontam, exact_dedup, forest, language, packing, planes, repeats,
                           token_count, toxicity)
 from bookloom.llm.common import scratch
 from bookloom.llm.tokenizer import Encoder, default_path
@@ -280,9 +280,9 @@ def shingles(t):
                      [tuple(w)] if w else [])
 
 
-@pytest.mark.parametrize("hot", [8, 2])
-def test_jaccard_join_matches_brute_force(spark, hot, monkeypatch):
-    monkeypatch.setattr(forest, "HOT", hot)
+@pytest.mark.parametrize("followers", [1_000, 2])
+def test_jaccard_join_matches_brute_force(spark, followers, monkeypatch):
+    monkeypatch.setattr(clusters, "FOLLOWERS", followers)
     rows = texts(8, 120)
     base = [f"w{i}" for i in range(60)]
     r = random.Random(5)
@@ -319,10 +319,23 @@ def test_jaccard_join_repeated_ids(spark):
     assert forest.keep(docs).count() == 2
 
 
+def test_jaccard_join_without_ids(spark):
+    same, other = "one two three four five six seven", "x y z u v w"
+    rows = [(None, same), (None, same), (4, same), (None, other), (None, other), (None, None), (2, ""), (2, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns(
+        {"_hi": F.lit(1), "root": F.lit("r")})
+    got = forest.near_duplicates(docs)
+    assert collected(got, "doc_id", "class_id", "n_links") == sorted(
+        [(None, 4, 2), (None, 4, 2), (4, 4, 2), (None, None, 1), (None, None, 1), (None, None, 0), (2, 2, 0), (2, 2, 0)],
+        key=repr)
+    kept = forest.keep(docs)
+    assert kept.columns == docs.columns
+    assert collected(kept, "doc_id", "text") == sorted([(4, same), (None, other), (None, None), (2, ""), (2, "")], key=repr)
+
+
 def test_jaccard_join_pairs_of_short_prefixes_in_large_buckets(spark, monkeypatch):
     """Pairs that share four or five hashes in some tree, but six in none, are found in large buckets."""
-    for name, value in (("HOT", 1), ("LED", 0), ("BLOCK", 3)):
-        monkeypatch.setattr(forest, name, value)
+    monkeypatch.setattr(clusters, "BLOCK", 3_000)
     r, rows = random.Random(3), []
     while len(rows) < 4:
         own = [f"w{r.random()}" for _ in range(50)]
@@ -339,8 +352,9 @@ def test_jaccard_join_pairs_of_short_prefixes_in_large_buckets(spark, monkeypatc
 
 
 def test_jaccard_join_blocks_match_brute_force(spark, monkeypatch):
-    for name, value in (("HOT", 1), ("LED", 0), ("BLOCK", 7)):
-        monkeypatch.setattr(forest, name, value)
+    monkeypatch.setattr(clusters, "BLOCK", 7_000)
+    monkeypatch.setattr(clusters, "leader_pairs", lambda rows, percent, longs: rows.select(
+        rows["id"].alias("a"), rows["id"].alias("b")).limit(0))
     base, r, rows = [f"w{i}" for i in range(60)], random.Random(9), []
     for _ in range(50):
         own = list(base)
@@ -365,7 +379,7 @@ def test_jaccard_join_at_other_similarities(spark):
     assert collected(got, "doc_id", "class_id", "n_links") == sorted(
         ((i, i // 2 * 2, 1) for i in range(60)), key=repr)
     assert [forest.least_depth(x) for x in (0.5, 0.8, 1.0)] == [1, 4, 6]
-    assert forest.most_differ(0.8) == 31
+    assert clusters.most_differ(80, 128) == 29
     with pytest.raises(ValueError):
         forest.near_duplicates(documents(spark, rows), least=0.2)
 
