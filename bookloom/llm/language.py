@@ -47,16 +47,27 @@ def features(text: str) -> np.ndarray:
     return x / max(float(np.linalg.norm(x)), 1e-9)
 
 
-def linear_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 25) -> np.ndarray:
+Sparse = tuple[np.ndarray, np.ndarray]
+
+
+def sparse(text: str) -> Sparse:
+    """Places and values of a text's features."""
+    x = features(text)
+    at = np.flatnonzero(x)
+    return at.astype(np.uint16), x[at]
+
+
+def linear_svm(x: list[Sparse], y: np.ndarray, cost: float = 10.0, rounds: int = 25) -> np.ndarray:
     """Weights of a hinge-loss SVM for labels -1 and 1, by dual coordinate descent."""
-    rng, w, alpha = np.random.default_rng(0), np.zeros(x.shape[1], np.float32), np.zeros(len(y))
+    rng, w, alpha = np.random.default_rng(0), np.zeros(SIZE, np.float32), np.zeros(len(y))
     for _ in range(rounds):
         moved = 0.0
         for i in rng.permutation(len(y)):
-            g = y[i] * float(x[i] @ w) - 1
+            at, values = x[i]
+            g = y[i] * float(values @ w[at]) - 1
             new = min(max(alpha[i] - g, 0.0), cost)  # rows have unit length
             if new != alpha[i]:
-                w += np.float32((new - alpha[i]) * y[i]) * x[i]
+                w[at] += np.float32((new - alpha[i]) * y[i]) * values
                 moved = max(moved, abs(new - alpha[i]))
                 alpha[i] = new
         if moved < 1e-3:
@@ -113,9 +124,7 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     groups: dict[str, list[str]] = {}
     for lang in langs:
         groups.setdefault(family[lang], []).append(lang)
-    x = np.zeros((len(rows), SIZE), np.float32)
-    for i, (_, t) in enumerate(rows):
-        x[i] = features(t)
+    x = [sparse(t) for _, t in rows]
     y = np.array([lang for lang, _ in rows], object)
     f = np.array([family[lang] for lang in y], object)
 
@@ -123,7 +132,7 @@ def fit(rows: list[tuple[str, str]]) -> Model:
         out = {}
         for a, b in itertools.combinations(sorted(names), 2):
             of = (labels == a) | (labels == b)
-            out[a, b] = linear_svm(x[of], np.where(labels[of] == a, 1.0, -1.0))
+            out[a, b] = linear_svm([x[i] for i in np.flatnonzero(of)], np.where(labels[of] == a, 1.0, -1.0))
         return out
 
     pairs: dict = {}
