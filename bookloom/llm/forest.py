@@ -45,8 +45,8 @@ TREES, DEPTH = 24, 6
 LONGS = 2
 #: Least share of the pairs of `least` similarity that meet in some tree.
 RECALL = 0.99999
-#: Sets that a task remembers.
-SEEN = 200_000
+#: Sets that a task remembers; bytes of text that it takes at once.
+SEEN, PORTION = 50_000, 500_000
 WORD = 5
 NOT_WORD = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _rng = np.random.default_rng(7)
@@ -109,7 +109,7 @@ def prints(docs: DataFrame) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in portions(b, b.num_columns - 1):
+            for part in portions(b, b.num_columns - 1, PORTION):
                 sets = shingle_sets(encoded(part.column(b.num_columns - 1)))
                 hi, lo = zip(*(digest(s) for s in sets))
                 yield pa.record_batch(
@@ -126,7 +126,7 @@ def sketches(docs: DataFrame, depth: int) -> DataFrame:
         many, seen = pa.list_(pa.int64()), set()
         types = (pa.int64(), pa.int64(), pa.int32(), pa.list_(many), many, pa.binary())
         for b in batches:
-            for part in portions(b, 0):
+            for part in portions(b, 0, PORTION):
                 rows = []
                 for s in shingle_sets(encoded(part.column(0))):
                     hi, lo = digest(s)

@@ -36,8 +36,8 @@ from bookloom.llm.wordhash import cut, encoded, mix, portions
 
 BANDS, ROWS = 32, 4
 LONGS = BANDS * ROWS // 64
-#: Sets that a task remembers.
-SEEN = 200_000
+#: Sets that a task remembers; bytes of text that it takes at once.
+SEEN, PORTION = 50_000, 500_000
 _rng = np.random.default_rng(12)
 A = _rng.integers(0, 2**31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
 B = _rng.integers(0, 2**32, BANDS * ROWS, np.uint32)
@@ -74,7 +74,7 @@ def prints(docs: DataFrame) -> DataFrame:
     """doc_id, size (of the set), hi, lo (digest of the set) of every row."""
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in portions(b, 1):
+            for part in portions(b, 1, PORTION):
                 sets = shingles(encoded(part.column(1)))
                 hi, lo = zip(*(digest(s) for s in sets))
                 yield pa.record_batch([part.column(0), pa.array([len(s) for s in sets], pa.int64()),
@@ -92,7 +92,7 @@ def sketches(docs: DataFrame) -> DataFrame:
         many, seen = pa.list_(pa.int64()), set()
         types = (pa.int64(), pa.int64(), pa.int32(), many, many, pa.binary())
         for b in batches:
-            for part in portions(b, 0):
+            for part in portions(b, 0, PORTION):
                 rows = []
                 for s in shingles(encoded(part.column(0))):
                     hi, lo = digest(s)
