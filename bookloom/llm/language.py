@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bookloom.llm.common import remainder, sample, text_hash, trained
+from bookloom.llm.wordhash import portions
 
 #: Families of related languages; a language not named here is a family of its own.
 FAMILIES = {"en": "germanic", "de": "germanic", "nl": "germanic", "sv": "germanic",
@@ -32,6 +33,8 @@ FAMILIES = {"en": "germanic", "de": "germanic", "nl": "germanic", "sv": "germani
             "it": "romance", "pt": "romance", "ro": "romance", "ca": "romance",
             "pl": "slavic", "cs": "slavic", "ru": "slavic", "uk": "slavic"}
 SIZE = 8192
+#: Bytes of text that a task judges at once.
+PORTION = 500_000
 LETTER = re.compile(r"[^\W\d_]")
 #: ASCII letters and all bytes of other letters stay, the rest becomes a blank.
 LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -152,10 +155,11 @@ def identify(docs: DataFrame, model: Model, names: tuple[str, str]) -> DataFrame
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [shared.value.predict(t) for t in b.column(at).to_pylist()]
-            yield pa.record_batch(
-                [*b.columns, pa.array([p for p, _ in found], pa.string()),
-                 pa.array([s for _, s in found], pa.float64())], [*b.schema.names, *names])
+            for part in portions(b, at, PORTION):
+                found = [shared.value.predict(t) for t in part.column(at).to_pylist()]
+                yield pa.record_batch(
+                    [*part.columns, pa.array([p for p, _ in found], pa.string()),
+                     pa.array([s for _, s in found], pa.float64())], [*b.schema.names, *names])
 
     return docs.mapInArrow(judge, schema)
 
