@@ -88,6 +88,19 @@ def apply(categorized: DataFrame, threshold: str = rules.DE_MINIMIS) -> DataFram
     }).drop("capex", "asset")
 
 
+def items(applied: DataFrame, threshold: str = rules.DE_MINIMIS) -> DataFrame:
+    """Capital purchases with what is recommended, and those under the threshold, a row each.
+
+    Classes are looked up again for these few rows, so posted rows needn't carry them."""
+    found = applied.where(F.col("is_capex") | F.col("de_minimis")).withColumn(
+        "asset", asset_class(F.col("description")))
+    advice = outcome(F.col("asset"), F.lit(False), threshold)["recommendation"]
+    return found.select(
+        "batch_id", "seq", F.when(F.col("is_capex"), "capex").otherwise("de_minimis").alias("kind"),
+        "date", "description", "amount", F.col("asset.name").alias("asset_class"),
+        F.when(F.col("is_capex"), advice).alias("recommendation"))
+
+
 def report(applied: DataFrame) -> DataFrame:
     return applied.groupBy("batch_id").agg(
         count_if(F.col("is_capex")).alias("capex_count"),

@@ -101,6 +101,15 @@ def delete(rules: DataFrame, deletions: DataFrame) -> DataFrame:
                       ["client_id", "rule_id"], "left_anti")
 
 
+def listing(rules: DataFrame) -> DataFrame:
+    """The rules of every client with their standing, for display."""
+    score = confidence(F.col("times_confirmed"), F.col("times_overridden"))
+    return rules.select(
+        "client_id", "rule_id", "canonical_pattern", "account_code", "account_name", "account_type",
+        score.alias("confidence"), "times_applied", "times_confirmed", "times_overridden", "created_seq",
+        "source")
+
+
 def match(rows: DataFrame, rules: DataFrame, only: Column | None = None) -> DataFrame:
     """Add struct ``learned``: the longest pattern of the client contained in the
     description whose side fits; ties go to the older rule."""

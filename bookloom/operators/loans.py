@@ -14,6 +14,9 @@ from bookloom.rules import loans as rules
 SPLIT = ("struct<principal:decimal(18,2),interest:decimal(18,2),fees:decimal(18,2),"
          "source:string,evidence:string>")
 
+#: Fixed value: how far the shares of a manual split may be from one.
+SHARE_GAP = "0.01"
+
 
 def is_loan(description: Column, direction: Column) -> Column:
     """Never null: a row without description or direction is no loan."""
@@ -49,6 +52,17 @@ def _split(principal, interest, fees, source, evidence) -> Column:
                     evidence.alias("evidence"))
 
 
+def checked_splits(rules: DataFrame) -> DataFrame:
+    """Shares a client hands in, with ``accepted`` and ``error``: they must add up to one, give or
+    take ``SHARE_GAP``; a missing share is zero."""
+    share = sum((F.coalesce(c, F.lit(0)) for c in ("principal_pct", "interest_pct", "fees_pct")),
+                F.lit(0)).cast("decimal(10,4)")
+    good = F.abs(share - 1) <= F.lit(SHARE_GAP).cast("decimal(10,4)")
+    return rules.withColumns({"accepted": good, "error": F.when(~good, F.concat(
+        F.lit("Percentages must sum to 1.0 (got "), F.round(share, 2).cast("decimal(10,2)").cast("string"),
+        F.lit(")")))})
+
+
 def manual_split(net: Column, fees: Column, rule: Column) -> Column:
     """By the client's own shares of the amount net of a stated fee."""
     share = rule["fees_pct"]

@@ -72,6 +72,18 @@ def build(rows: DataFrame, by: list[str]) -> DataFrame:
         count_if(F.col("confidence") == "flagged").alias("flagged_count"))
 
 
+# What a statement always assumes, and what it assumes with interest in it.
+ASSUMED = ["P&L derived from bank-statement categorization (cash basis).",
+           "COGS is bank-proxy only; no inventory adjustments applied."]
+ASSUMED_INTEREST = "Loan interest routed to expense; principal excluded from P&L."
+
+
+def assumptions() -> Column:
+    """The disclosure lines of a built statement."""
+    more = F.when(F.col("interest_expense") > 0, F.lit(ASSUMED_INTEREST))
+    return F.array_compact(F.array(*[F.lit(a) for a in ASSUMED], more))
+
+
 def pct(part: Column, whole: Column) -> Column:
     """Percent to two digits, half up; zero when the whole is not positive."""
     return F.when(whole > 0, F.round(part / whole * 100, 2)).otherwise(0).cast(PCT)
@@ -238,7 +250,8 @@ METRICS = ["gross_margin", "net_margin", "rent", "cogs"]
 
 
 def score(pl: DataFrame, industry: str = "general") -> DataFrame:
-    """Add one struct per metric (status, value, flag, action), and ``overall``.
+    """Add one struct per metric (status, value, flag, action, benchmark), and ``overall``. The
+    benchmark is named for the gross margin only.
 
     Rent and cost of goods are scored only when there are any.
     """
@@ -246,10 +259,11 @@ def score(pl: DataFrame, industry: str = "general") -> DataFrame:
     c = F.col
 
     def grade(value: str, steps, otherwise) -> Column:
-        def out(status, flag, action=None):
+        def out(status, flag, action=None, benchmark=None):
             a = action if isinstance(action, Column) else F.lit(action)
             return F.struct(F.lit(status).alias("status"), c(value).alias("value"),
-                            F.lit(flag).alias("flag"), a.cast("string").alias("action"))
+                            F.lit(flag).alias("flag"), a.cast("string").alias("action"),
+                            F.lit(benchmark).cast("double").alias("benchmark"))
         chain = F
         for cond, *rest in steps:
             chain = chain.when(cond, out(*rest))
@@ -261,11 +275,12 @@ def score(pl: DataFrame, industry: str = "general") -> DataFrame:
     m, n, r, g = c("gross_margin_pct"), c("net_margin_pct"), c("rent_pct"), c("cogs_pct")
     metrics = {
         "gross_margin": grade("gross_margin_pct", [
-            (m >= gm["excellent"], "EXCELLENT", "green"), (m >= gm["healthy"], "HEALTHY", "green"),
+            (m >= gm["excellent"], "EXCELLENT", "green", None, gm["excellent"]),
+            (m >= gm["healthy"], "HEALTHY", "green", None, gm["healthy"]),
             (m >= gm["low"], "BELOW AVERAGE", "yellow", _text(
                 "Gross margin is ", one_digit(F.lit(gm["healthy"]) - m),
-                f"% below target. Review {label} COGS."))],
-            ("CRITICAL", "red", "Immediate cost review needed")),
+                f"% below target. Review {label} COGS."), gm["healthy"])],
+            ("CRITICAL", "red", "Immediate cost review needed", gm["low"])),
         "net_margin": grade("net_margin_pct", [
             (n >= nm["excellent"], "EXCELLENT", "green"), (n >= nm["healthy"], "HEALTHY", "green"),
             (n >= nm["average"], "AVERAGE", "yellow",

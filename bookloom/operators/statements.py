@@ -66,11 +66,18 @@ def tax_lines(rows: DataFrame, by: list[str] = ["batch_id"]) -> DataFrame:
 
 
 def tax_items(rows: DataFrame) -> DataFrame:
+    """The transactions behind each tax-form line."""
     return (rows.withColumn("tax_line", tax_line_map(F.col("account_code")))
             .where(F.col("tax_line").isNotNull())
             .select("batch_id", "seq", "tax_line", "date", "description", "amount", "account_code"))
 
 
+def tax_unmapped(rows: DataFrame) -> DataFrame:
+    """Transactions whose account is on no tax-form line."""
+    return rows.where(tax_line_map(F.col("account_code")).isNull()).select(
+        "batch_id", "seq", "date", "description", "amount", "account_code")
+
+
 def tax_summary(rows: DataFrame, by: list[str] = ["batch_id"]) -> DataFrame:
     line = F.col("tax_line")
     gross, cogs, other = accounts.INCOME_LINES

@@ -11,8 +11,9 @@ from bookloom.functions.money import total
 
 def cover_sheet(batches: DataFrame, batch_totals: DataFrame, trial_totals: DataFrame,
                 flag_summary: DataFrame, business_name: str = "Client",
-                ruleset_version: str = "2.4.0") -> DataFrame:
+                ruleset_version: str = "2.4.0", prepared_by: str = "") -> DataFrame:
     """One sheet per batch; a batch without transactions shows zeros."""
+    source_hash = F.coalesce("source_hash", F.lit("")) if "source_hash" in batches.columns else F.lit("")
     none = F.lit(0).cast("decimal(18,2)")
     period = F.concat(F.col("period_start").cast("string"), F.lit(" to "),
                       F.col("period_end").cast("string"))
@@ -23,7 +24,8 @@ def cover_sheet(batches: DataFrame, batch_totals: DataFrame, trial_totals: DataF
             .fillna(0, ["transaction_count", "flagged_transactions", "critical"])
             .fillna(True, ["is_balanced"])
             .select("batch_id", F.lit(business_name).alias("business_name"), period.alias("period"),
-                    "source_document", "document_type", F.lit("cash").alias("accounting_method"),
+                    F.lit(prepared_by).alias("prepared_by"), "source_document",
+                    source_hash.alias("source_hash"), "document_type", F.lit("cash").alias("accounting_method"),
                     "transaction_count", F.coalesce("total_debits", none).alias("total_debits"),
                     F.coalesce("total_credits", none).alias("total_credits"),
                     F.when(F.col("is_balanced"), "BALANCED").otherwise("OUT OF BALANCE")
@@ -31,6 +33,7 @@ def cover_sheet(batches: DataFrame, batch_totals: DataFrame, trial_totals: DataF
                     F.col("flagged_transactions").alias("flagged_items"),
                     F.col("critical").alias("critical_flags"),
                     F.lit(ruleset_version).alias("ruleset_version"),
+                    F.lit("").alias("reviewer_id"), F.lit("").alias("review_timestamp"),
                     F.lit("PENDING").alias("review_status")))
 
 
@@ -85,6 +88,27 @@ def flagged_list(flagged: DataFrame, limit: int) -> DataFrame:
             .where(F.col("position") <= limit))
 
 
+def flagged_rows(flagged: DataFrame) -> DataFrame:
+    """Every flagged row with its flags and their messages."""
+    return flagged.where(F.size("flags") > 0).select(
+        "batch_id", "seq", "date", "description", "amount", "flags", "flag_notes")
+
+
+def journal_totals(posted: DataFrame) -> DataFrame:
+    """Entries of each batch, and whether all of them balance."""
+    return posted.groupBy("batch_id").agg(
+        F.count("*").alias("journal_entry_count"),
+        F.min("entry_balanced").alias("journal_entries_balanced"))
+
+
+def fields_digest(package_rows: DataFrame) -> DataFrame:
+    """Package rows with the digest of their fields, by name, in place of the JSON."""
+    fields = F.map_entries(F.from_json("payload", "map<string,string>"))
+    text = F.array_join(F.transform(F.array_sort(fields), lambda e: F.concat(
+        e["key"], F.lit("="), F.coalesce(e["value"], F.lit("~")))), "|")
+    return package_rows.select("batch_id", "section", "sort_key", F.md5(text).alias("fields_md5"))
+
+
 def search(register_rows: DataFrame, needle: str, order_by: str = "date",
            ascending: bool = True) -> DataFrame:
     """Register rows whose description, account name or code holds ``needle``, sorted."""

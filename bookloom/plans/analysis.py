@@ -143,7 +143,13 @@ class Analysis:
             s(statements.pnl_lines(self.trial_balance).select(
                 "batch_id", "section", "code", "name", "amount"), "profit_and_loss_lines", ["code"]),
             s(statements.tax_lines(self.posted), "schedule_c_map", ["tax_line"]),
+            s(statements.tax_items(self.posted), "schedule_c_transactions", ["seq"]),
+            s(statements.tax_unmapped(self.posted), "schedule_c_unmapped", ["seq"]),
             s(statements.tax_summary(self.posted), "schedule_c_summary", []),
+            s(workpapers.journal_totals(self.posted), "journal_totals", []),
+            s(capex.items(self.posted), "capital_purchases", ["seq"]),
+            s(flags.counts(self.flagged), "flag_counts", ["flag"]),
+            s(workpapers.flagged_rows(self.flagged), "flagged_items", ["seq"]),
             s(self.flag_summary, "flagged_items_report", []),
             s(workpapers.category_summary(self.posted), "category_summary", ["position"]),
             s(workpapers.audit_trail(self.flagged), "audit_trail", ["seq"])])

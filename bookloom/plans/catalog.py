@@ -359,6 +359,15 @@ _loan_source("amortization_lookup", "amortization")
 _loan_source("estimated_split", "estimated")
 
 
+@query("split_shares")
+def _(s, d):
+    # every third client is off by 0.006, every third by 0.012
+    off = (F.pmod("client_id", F.lit(3)) * F.lit("0.0060").cast("decimal(5,4)")).cast("decimal(5,4)")
+    rules = derive.manual_splits(s, d).withColumn(
+        "interest_pct", (F.col("interest_pct") + off).cast("decimal(5,4)"))
+    return loans.checked_splits(rules).select("client_id", "pattern", "interest_pct", "accepted", "error")
+
+
 @query("loan_split")
 def _(s, d):
     return _loan_rows(s, d).where("is_loan").select("seq", "loan_type", "split.source", "split.principal",
@@ -559,6 +568,11 @@ def _(s, d):
     return corrections.delete(rules, gone).select("client_id", "rule_id", "canonical_pattern")
 
 
+@query("correction_list")
+def _(s, d):
+    return corrections.listing(derive.learned_rules(s, d))
+
+
 @query("correction_stats")
 def _(s, d):
     return corrections.stats(derive.learned_rules(s, d))
@@ -589,6 +603,11 @@ def _(s, d):
         "seq", "amount", "account_code")
 
 
+@query("capex_items")
+def _(s, d):
+    return capex.items(_analysis(s, d).posted)
+
+
 @query("capex_report")
 def _(s, d):
     return capex.report(_analysis(s, d).posted)
@@ -637,6 +656,16 @@ def _(s, d):
     return statements.tax_lines(_analysis(s, d).posted)
 
 
+@query("tax_items")
+def _(s, d):
+    return statements.tax_items(_analysis(s, d).posted)
+
+
+@query("tax_unmapped")
+def _(s, d):
+    return statements.tax_unmapped(_analysis(s, d).posted)
+
+
 @query("tax_summary")
 def _(s, d):
     return statements.tax_summary(_analysis(s, d).posted)
@@ -814,6 +843,12 @@ def _(s, d):
         F.count("*").alias("rows"), F.countDistinct("batch_id").alias("batches"))
 
 
+@query("package_fields")
+def _(s, d):
+    _flagged(s, d)
+    return workpapers.fields_digest(_analysis(s, d).package)
+
+
 # --- simple profit and loss -------------------------------------------------
 
 BY = ["client_id", "period"]
@@ -856,6 +891,11 @@ def _(s, d):
     return pnl.build(pnl.categorize(_simple(s, d)), BY)
 
 
+@query("pnl_assumptions")
+def _(s, d):
+    return _pl(s, d).select(*BY, pnl.assumptions().alias("assumptions"))
+
+
 @query("pnl_measures")
 def _(s, d):
     return _pl(s, d).select(*BY, "net_revenue", "total_cogs", "gross_profit", "total_opex",

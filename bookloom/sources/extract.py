@@ -19,6 +19,15 @@ def _date(iso: Column) -> Column:
     return iso.try_cast("date")
 
 
+def records(text: Column) -> Column:
+    """Records of a delimited text: a line break between double quotes doesn't end one."""
+    mark = "\ue001"
+    pieces = F.transform(F.split(F.regexp_replace(text, r"\r\n?", "\n"), '"', -1), lambda p, i: F.when(
+        i % 2 == 1, F.replace(p, F.lit("\n"), F.lit(mark))).otherwise(p))
+    return F.transform(F.split(F.array_join(pieces, '"'), "\n", -1),
+                       lambda r: F.replace(r, F.lit(mark), F.lit("\n")))
+
+
 def extract(texts: DataFrame, default_year: int, client_id: int = 0) -> tuple[DataFrame, DataFrame]:
     """(transactions, batches) of whole statements (source_id, text).
 
@@ -32,7 +41,7 @@ def extract(texts: DataFrame, default_year: int, client_id: int = 0) -> tuple[Da
         F.substring(F.sha2(F.concat_ws("\n", "source_id", "text"), 256), 1, 32).alias("batch_id"))
     is_table = F.lower("source_id").rlike("(" + "|".join(e.replace(".", r"\.") for e in DELIMITED) + ")$")
     lines = named.where(is_table).select("batch_id", F.posexplode(
-        F.split("text", r"\r?\n")).alias("seq", "line"))
+        records(F.col("text"))).alias("seq", "line"))
     columns = ["batch_id", "seq", "date", "description", "amount", "direction"]
     cells = statements.delimited(lines.withColumn("seq", F.col("seq").cast("bigint"))
                                  .withColumnRenamed("batch_id", "source_id"), default_year)

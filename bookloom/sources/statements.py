@@ -72,7 +72,7 @@ def split_cells(line: Column, delimiter: Column) -> Column:
                          lambda c: F.replace(c, aside, delimiter))
     plain = F.split(line, F.concat(F.lit("\\Q"), delimiter, F.lit("\\E")), -1)
     bare = F.transform(quoted, lambda c: F.when(
-        F.trim(c).rlike('^".*"$'),
+        F.trim(c).rlike('(?s)^".*"$'),
         F.regexp_replace(F.regexp_replace(F.trim(c), '^"|"$', ""), '""', '"')).otherwise(c))
     return F.when(line.contains(mark), bare).otherwise(plain)
 

@@ -13,10 +13,13 @@ from oracle.base import *  # noqa: F403
 from oracle.base import CTES, EXCL, FB, FLAG_COND, _cls, _dec, _own_case, _tier
 
 ORACLES: dict[str, str] = {}
+#: Select and needed CTEs of each, for statements made of several.
+SELECTS: dict[str, tuple[str, str]] = {}
 
 
 def o(name: str, select: str, needs: str = "") -> None:
     ORACLES[name] = build(select, needs)
+    SELECTS[name] = (select, needs)
 
 
 U = "upper(description)"
@@ -226,6 +229,10 @@ o("described_interest", f"SELECT seq, CAST(f AS VARCHAR) AS interest FROM (SELEC
 _sp = "CAST(principal AS VARCHAR) AS principal, CAST(interest AS VARCHAR) AS interest, CAST(fees AS VARCHAR) AS fees"
 for _n, _src in (("manual_split", "manual"), ("amortization_lookup", "amortization"), ("estimated_split", "estimated")):
     o(_n, f"SELECT seq, {_sp}, evidence FROM split WHERE source = {q(_src)}", "split")
+o("split_shares", """SELECT client_id, pattern, CAST(interest AS VARCHAR) AS interest_pct, abs(principal + interest + fees - 1) <= 0.01 AS accepted,
+ CASE WHEN abs(principal + interest + fees - 1) > 0.01 THEN 'Percentages must sum to 1.0 (got ' || CAST(CAST(round(principal + interest + fees, 2) AS DECIMAL(10,2)) AS VARCHAR) || ')' END AS error
+FROM (SELECT client_id, pattern, principal, CAST(interest + (client_id % 3) * 0.0060 AS DECIMAL(5,4)) AS interest, fees FROM clients,
+ (VALUES (0, 'SBA LOAN', 0.7000, 0.3000, 0.0000), (1, 'equipment', 0.6500, 0.3000, 0.0500)) v(n, pattern, principal, interest, fees) WHERE (client_id + n) % 4 = 0)""", "clients")
 o("loan_split", f"SELECT seq, loan_type, source, {_sp} FROM split", "split")
 o("apply_loans", """SELECT seq, CASE WHEN source IS NOT NULL THEN 'LIABILITY' ELSE '' END AS account_type, CASE WHEN source IS NOT NULL THEN '2300' ELSE '' END AS account_code,
  CASE WHEN source IS NOT NULL THEN 'Loan Payable' ELSE '' END AS account_name, coalesce(source = 'estimated', FALSE) AS loan_estimated, CASE WHEN source = 'estimated' THEN 'LOAN_ESTIMATED_SPLIT' ELSE '' END AS flags
@@ -301,6 +308,7 @@ o("correction_applications", """SELECT seq, rule_id, a AS times_applied, 'Learne
 FROM (SELECT *, applied + row_number() OVER (PARTITION BY client_id, rule_id ORDER BY seq) AS a FROM learned_hit)""", "learned_hit")
 o("correction_import", "SELECT client_id, count(*) AS imported FROM ev WHERE kind = 'import' AND account_code IS NOT NULL GROUP BY 1", "ev")
 o("correction_delete", "SELECT client_id, rule_id, pattern AS canonical_pattern FROM learned WHERE (client_id + created_seq) % 5 <> 0", "learned")
+o("correction_list", "SELECT client_id, rule_id, pattern AS canonical_pattern, account_code, account_name, account_type, confidence, times_applied, times_confirmed, times_overridden, created_seq, 'human_override' AS source FROM learned", "learned")
 o("correction_stats", """SELECT client_id, count(*) AS total_rules, CAST(sum(times_applied) AS BIGINT) AS total_applied, CAST(round_even(CAST(sum(CAST(confidence AS DECIMAL(10,4))) AS DOUBLE) / count(*), 3) AS DOUBLE) AS avg_confidence,
  count(*) FILTER (WHERE confidence >= CAST(0.9 AS DOUBLE)) AS high_confidence_rules, count(*) FILTER (WHERE confidence < CAST(0.7 AS DOUBLE)) AS low_trust_rules FROM learned GROUP BY 1""", "learned")
 
@@ -310,6 +318,9 @@ o("capex_exclusion", f"SELECT seq, {EXCL} AS excluded FROM tx", "tx")
 o("asset_class", f"SELECT seq, {asset('name')} AS name, {asset('keyword')} AS keyword, {asset('life')} AS life, {asset('property_class')} AS property_class FROM tx WHERE {has(U, [w for w, _ in _cls])}", "tx")
 o("capex_apply", "SELECT seq, is_capex, de_minimis, cls_out AS capex_asset_class, code AS account_code, name AS account_name FROM cap WHERE is_capex OR de_minimis", "cap")
 o("large_expense_review", "SELECT seq, CAST(amount AS VARCHAR) AS amount, code AS account_code FROM cap WHERE list_contains(flags, 'LARGE_EXPENSE_REVIEW')", "cap")
+_citem = f"""SELECT batch_id, seq, kind, date, description, CAST(amount AS VARCHAR) AS amount, cls AS asset_class, CASE WHEN kind = 'capex' THEN 'Route to Fixed Assets (' || {asset('property_class')} || '). CPA to evaluate: Section 179 election, Bonus Depreciation (168(k)), or standard MACRS over ' || {asset('life')} || ' years. Ref: ' || {asset('ref')} END AS recommendation
+ FROM cap WHERE kind IN ('capex', 'de_minimis')"""
+o("capex_items", _citem, "cap")
 o("capex_report", f"SELECT batch_id, count(*) FILTER (WHERE is_capex) AS capex_count, CAST({msum('amount', 'is_capex')} AS VARCHAR) AS total_capex, count(*) FILTER (WHERE de_minimis) AS de_minimis_count FROM cap GROUP BY 1", "cap")
 
 # --- ledger -----------------------------------------------------------------
@@ -337,6 +348,10 @@ for _t in accounts.tax_lines():
 _tl = "CASE " + " ".join(f"WHEN code IN ({', '.join(q(c) for c in cs)}) THEN {q(l)}" for l, cs in _groups.items()) + " END"
 cte("taxed", f"SELECT *, {_tl} AS tl FROM posted", "posted")
 o("tax_lines", f"SELECT batch_id, tl AS tax_line, CAST({msum('amount')} AS VARCHAR) AS total, count(*) AS transaction_count FROM taxed WHERE tl IS NOT NULL GROUP BY 1, 2", "taxed")
+_titem = "SELECT batch_id, seq, tl AS tax_line, date, description, CAST(amount AS VARCHAR) AS amount, code AS account_code FROM taxed WHERE tl IS NOT NULL"
+_topen = "SELECT batch_id, seq, date, description, CAST(amount AS VARCHAR) AS amount, code AS account_code FROM taxed WHERE tl IS NULL"
+o("tax_items", _titem, "taxed")
+o("tax_unmapped", _topen, "taxed")
 _i1, _i2, _i3 = (q(x) for x in accounts.INCOME_LINES)
 o("tax_summary", f"""SELECT batch_id, CAST(g AS VARCHAR) AS gross_receipts, CAST(c AS VARCHAR) AS cogs, CAST(oi AS VARCHAR) AS other_income, CAST(x AS VARCHAR) AS total_expenses, u AS unmapped_count,
  {text('g - c')} AS gross_profit, {text('g - c + oi')} AS total_income, {text('g - c + oi - x')} AS net_profit FROM (SELECT batch_id, {msum('amount', f'tl = {_i1}')} AS g, {msum('amount', f'tl = {_i2}')} AS c, {msum('amount', f'tl = {_i3}')} AS oi,
@@ -384,7 +399,7 @@ FROM (SELECT *, uncategorized * 100 > total * 30 OR review_queue * 100 > total *
 
 # --- workpapers -------------------------------------------------------------
 
-o("cover_sheet", """SELECT b.batch_id, 'Client' AS business_name, CAST(period_start AS VARCHAR) || ' to ' || CAST(period_end AS VARCHAR) AS period, source_document, document_type, 'cash' AS accounting_method, transaction_count,
+o("cover_sheet", """SELECT b.batch_id, 'Client' AS business_name, CAST(period_start AS VARCHAR) || ' to ' || CAST(period_end AS VARCHAR) AS period, '' AS prepared_by, source_document, '' AS source_hash, '' AS reviewer_id, '' AS review_timestamp, document_type, 'cash' AS accounting_method, transaction_count,
  CAST(t.total_debits AS VARCHAR) AS total_debits, CAST(t.total_credits AS VARCHAR) AS total_credits, CASE WHEN is_balanced THEN 'BALANCED' ELSE 'OUT OF BALANCE' END AS trial_balance_status, flagged_transactions AS flagged_items, critical AS critical_flags,
  '2.4.0' AS ruleset_version, 'PENDING' AS review_status FROM batches b JOIN totals t USING (batch_id) JOIN tbt USING (batch_id) JOIN flag_summary USING (batch_id)""", "batches totals tbt flag_summary")
 _reg = f"SELECT batch_id, seq, date, description, CAST(amount AS VARCHAR) AS amount, direction, code AS account_code, name AS account_name, confidence, len(flags) > 0 AS flagged, {join('flags')} AS flags FROM flagged"
@@ -397,6 +412,37 @@ o("bank_reconciliation", f"""SELECT batch_id, CAST(nullif(beginning_balance, 0)
 o("flagged_list", f"SELECT batch_id, seq, date, description, CAST(amount AS VARCHAR) AS amount, {join('flags')} AS flags, position FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY seq) AS position FROM flagged WHERE len(flags) > 0) WHERE position <= 50", "flagged")
 o("register_search", "SELECT seq, description, CAST(amount AS VARCHAR) AS amount, code AS account_code FROM flagged WHERE contains(lower(description), 'food') OR contains(lower(name), 'food') OR contains(code, 'food')", "flagged")
 
+# the package: per section its rows, sort key and fields; a digest of all fields by name
+_blocks = {
+    "cover_sheet": (SELECTS["cover_sheet"][0], None, "business_name period prepared_by source_document source_hash document_type accounting_method transaction_count total_debits total_credits trial_balance_status flagged_items critical_flags ruleset_version reviewer_id review_timestamp review_status"),
+    "bank_reconciliation": (SELECTS["bank_reconciliation"][0], None, "beginning_balance total_credits total_debits net_change ending_balance reconciles calculated_ending"),
+    "transaction_register": ("SELECT batch_id, seq, date, description, CAST(amount AS VARCHAR) AS amount, direction, code AS account_code, name AS account_name, confidence, len(flags) > 0 AS flagged, to_json(flags) AS flags FROM flagged", "seq", "date description amount direction account_code account_name confidence flagged flags"),
+    "trial_balance": (SELECTS["trial_balance"][0], "code", "code name total_debit total_credit type normal_balance net_balance balance_debit balance_credit"),
+    "profit_and_loss": (SELECTS["profit_and_loss"][0], None, "revenue cogs operating_expenses interest_expense line_items gross_profit gross_margin_pct net_income"),
+    "profit_and_loss_lines": ("SELECT batch_id, CASE WHEN type = 'REVENUE' THEN 'revenue' WHEN type = 'COGS' THEN 'cogs' WHEN code = '6700' THEN 'interest' ELSE 'operating_expenses' END AS section, code, name, CAST(abs(net) AS VARCHAR) AS amount FROM tb WHERE type IN ('REVENUE', 'COGS', 'EXPENSE')", "code", "section code name amount"),
+    "schedule_c_map": (SELECTS["tax_lines"][0], "tax_line", "tax_line total transaction_count"),
+    "schedule_c_transactions": (_titem, "seq", "tax_line date description amount account_code"),
+    "schedule_c_unmapped": (_topen, "seq", "date description amount account_code"),
+    "schedule_c_summary": (SELECTS["tax_summary"][0], None, "gross_receipts cogs other_income total_expenses unmapped_count gross_profit total_income net_profit"),
+    "journal_totals": ("SELECT batch_id, count(*) AS journal_entry_count, bool_and(balanced) AS journal_entries_balanced FROM posted GROUP BY 1", None, "journal_entry_count journal_entries_balanced"),
+    "capital_purchases": (_citem, "seq", "kind date description amount asset_class recommendation"),
+    "flag_counts": (SELECTS["flag_severity"][0], "flag", "flag occurrences severity dashboard_severity"),
+    "flagged_items": ("SELECT batch_id, seq, date, description, CAST(amount AS VARCHAR) AS amount, to_json(flags) AS flags, to_json(notes) AS flag_notes FROM flagged WHERE len(flags) > 0", "seq", "date description amount flags flag_notes"),
+    "flagged_items_report": ("SELECT * FROM flag_summary", None, "total_flags flagged_transactions critical high medium low"),
+    "category_summary": (SELECTS["category_summary"][0], "position", "category_name count total account position"),
+    "audit_trail": ("SELECT batch_id, seq, transaction_id, date, description, CAST(amount AS VARCHAR) AS amount, layer AS categorization_layer, code AS account_code, name AS account_name, confidence, entry_id AS journal_entry_id, balanced AS je_balanced, to_json(flags) AS flags, to_json(notes) AS flag_notes FROM flagged", "seq", "transaction_id date description amount categorization_layer account_code account_name confidence journal_entry_id je_balanced flags flag_notes"),
+}
+
+
+def _digest(section: str, sql: str, key: str | None, fields: str) -> str:
+    text_ = " || '|' || ".join(f"'{f}=' || coalesce(CAST({f} AS VARCHAR), '~')" for f in sorted(fields.split()))
+    order = f"lpad(CAST({key} AS VARCHAR), 20, '0')" if key else "''"
+    return f"SELECT batch_id, {q(section)} AS section, {order} AS sort_key, md5({text_}) AS fields_md5 FROM ({sql})"
+
+
+o("package_fields", " UNION ALL ".join(_digest(n, *b) for n, b in _blocks.items()),
+  "batches totals tbt flag_summary recon tb pl taxed cap posted flagged flag_items")
+
 # --- simple profit and loss -------------------------------------------------
 
 table("kw", "place, keyword, category, subcategory", [(r["ordinal"], r["keyword"], r["category"], r["subcategory"]) for r in keywords.rules()])
@@ -421,6 +467,7 @@ cte("meas", f"""SELECT *, CASE WHEN net_revenue > 0 THEN {pct('gross_profit', 'n
  CASE WHEN net_revenue <> 0 THEN {pct('total_opex', 'net_revenue')} ELSE 0 END AS op, CASE WHEN net_revenue <> 0 THEN {pct('rent', 'net_revenue')} ELSE 0 END AS rp
 FROM (SELECT *, {m('operating_income - interest_expense - taxes')} AS net_profit FROM (SELECT *, {m('gross_profit - total_opex')} AS operating_income FROM (SELECT *, {m('net_revenue - total_cogs')} AS gross_profit FROM (
  SELECT *, {m('gross_revenue - refunds')} AS net_revenue, {m('inventory_costs + direct_labor')} AS total_cogs, {m('rent + utilities + insurance + marketing + software + bank_fees + other_opex')} AS total_opex FROM built))))""", "built")
+o("pnl_assumptions", "SELECT client_id, period, 'P&L derived from bank-statement categorization (cash basis). | COGS is bank-proxy only; no inventory adjustments applied.' || CASE WHEN interest_expense > 0 THEN ' | Loan interest routed to expense; principal excluded from P&L.' ELSE '' END AS assumptions FROM meas", "meas")
 o("pnl_measures", "SELECT client_id, period, " + ", ".join(f"CAST({k} AS VARCHAR) AS {k}" for k in ("net_revenue", "total_cogs", "gross_profit", "total_opex", "operating_income", "net_profit")) + " FROM meas", "meas")
 _mg = {"gm": "gross_margin_pct", "om": "operating_margin_pct", "nm": "net_margin_pct", "cp": "cogs_pct", "op": "opex_pct", "rp": "rent_pct"}
 o("pnl_margins", "SELECT client_id, period, " + ", ".join(f"{text(k)} AS {v}" for k, v in _mg.items()) + " FROM meas", "meas")
@@ -458,7 +505,7 @@ def scored(ind: str) -> str:
     one = lambda x: f"CAST(CAST(round({x}, 1) AS DECIMAL(18,1)) AS VARCHAR)"
     return f"""SELECT client_id, period, {q(label)} AS industry, gm, nm, rp, cp,
  CASE WHEN gm >= {g['excellent']} THEN 'EXCELLENT' WHEN gm >= {g['healthy']} THEN 'HEALTHY' WHEN gm >= {g['low']} THEN 'BELOW AVERAGE' ELSE 'CRITICAL' END AS s0, CASE WHEN gm >= {g['healthy']} THEN 'green' WHEN gm >= {g['low']} THEN 'yellow' ELSE 'red' END AS f0,
- CASE WHEN gm >= {g['healthy']} THEN NULL WHEN gm >= {g['low']} THEN 'Gross margin is ' || {one(f"{g['healthy']} - gm")} || '% below target. Review {label} COGS.' ELSE 'Immediate cost review needed' END AS a0,
+ CASE WHEN gm >= {g['healthy']} THEN NULL WHEN gm >= {g['low']} THEN 'Gross margin is ' || {one(f"{g['healthy']} - gm")} || '% below target. Review {label} COGS.' ELSE 'Immediate cost review needed' END AS a0, CAST(CASE WHEN gm >= {g['excellent']} THEN {g['excellent']} WHEN gm >= {g['low']} THEN {g['healthy']} ELSE {g['low']} END AS DOUBLE) AS b0,
  CASE WHEN nm >= {n['excellent']} THEN 'EXCELLENT' WHEN nm >= {n['healthy']} THEN 'HEALTHY' WHEN nm >= {n['average']} THEN 'AVERAGE' ELSE 'STRUGGLING' END AS s1, CASE WHEN nm >= {n['healthy']} THEN 'green' WHEN nm >= {n['average']} THEN 'yellow' ELSE 'red' END AS f1,
  CASE WHEN nm >= {n['healthy']} THEN NULL WHEN nm >= {n['average']} THEN 'Look for OPEX savings to improve bottom line' ELSE 'Business profitability needs immediate attention' END AS a1,
  CASE WHEN rp > 0 THEN CASE WHEN rp <= {r['ideal']} THEN 'IDEAL' WHEN rp <= {r['warning']} THEN 'ACCEPTABLE' ELSE 'TOO HIGH' END END AS s2, CASE WHEN rp > 0 THEN CASE WHEN rp <= {r['ideal']} THEN 'green' WHEN rp <= {r['warning']} THEN 'yellow' ELSE 'red' END END AS f2,
@@ -469,7 +516,7 @@ def scored(ind: str) -> str:
 
 _overall = "CASE WHEN list_contains([f0, f1, f2, f3], 'red') THEN 'NEEDS ATTENTION' WHEN list_contains([f0, f1, f2, f3], 'yellow') THEN 'ROOM FOR IMPROVEMENT' ELSE 'HEALTHY' END"
 cte("scores", " UNION ALL ".join(scored(i) for i in ("general", "bakery", "mechanic")), "meas")
-o("industry_scorecard", " UNION ALL ".join(f"SELECT client_id, period, industry, {_overall} AS overall, {i}::BIGINT AS position, {q(nm_)} AS metric, s{i} AS status, {text(v_)} AS value, f{i} AS flag, a{i} AS action FROM scores WHERE s{i} IS NOT NULL"
+o("industry_scorecard", " UNION ALL ".join(f"SELECT client_id, period, industry, {_overall} AS overall, {i}::BIGINT AS position, {q(nm_)} AS metric, s{i} AS status, {text(v_)} AS value, f{i} AS flag, a{i} AS action, {'b0' if i == 0 else 'CAST(NULL AS DOUBLE)'} AS benchmark FROM scores WHERE s{i} IS NOT NULL"
   for i, (nm_, v_) in enumerate(zip(pnl_rules.METRICS, ("gm", "nm", "rp", "cp")))), "scores")
 _acts = compact(*[(f"f{i} IN ('red', 'yellow') AND a{i} IS NOT NULL", f"a{i}") for i in range(4)])
 o("recommendations", f"SELECT client_id, period, {_overall} AS overall, {join(_acts)} AS actions FROM scores WHERE industry = 'General Business'", "scores")
