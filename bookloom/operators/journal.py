@@ -127,6 +127,22 @@ def trial_balance(journal_lines: DataFrame, by: list[str] = ["batch_id"]) -> Dat
         .withColumnRenamed("account", "code"))
 
 
+#: Levels of `rollup`, from one account of one batch to everything.
+LEVELS = [("client_id", "batch_id", "type", "code"), ("client_id", "batch_id", "type"),
+          ("client_id", "batch_id"), ("client_id", "type", "code"), ("client_id", "type"),
+          ("client_id",), ("type", "code"), ("type",), ()]
+
+
+def rollup(balance: DataFrame, batches: DataFrame) -> DataFrame:
+    """Trial balances added up on every level in one pass; ``level`` has a bit for each of client,
+    batch, type and account that is not told apart, the account's the lowest."""
+    rows = balance.join(batches.select("batch_id", "client_id"), "batch_id")
+    return rows.groupingSets(LEVELS, *LEVELS[0]).agg(
+        F.grouping_id().cast("bigint").alias("level"), F.count("*").alias("balances"),
+        total(F.col("total_debit")).alias("total_debit"), total(F.col("total_credit")).alias("total_credit"),
+        total(F.col("net_balance")).alias("net_balance"))
+
+
 def trial_totals(balance: DataFrame, by: list[str] = ["batch_id"]) -> DataFrame:
     return (balance.groupBy(*by).agg(
         total(F.col("total_debit")).alias("total_debits"),

@@ -50,6 +50,17 @@ def breakdown(rows: DataFrame, by: list[str]) -> DataFrame:
         total(F.abs("amount")).alias("total"), F.count("*").alias("rows"))
 
 
+def rollup(rows: DataFrame) -> DataFrame:
+    """Breakdown on every level from a subcategory of one client's period to everything, in one pass
+    over the finest sums; ``level`` has a bit for each column that is not told apart."""
+    by = ["client_id", "period", "category", "subcategory"]
+    levels = [by, by[:3], by[:2], ["client_id", *by[2:]], ["client_id", "category"], ["client_id"],
+              by[2:], ["category"], []]
+    return breakdown(rows, by[:2]).groupingSets([tuple(x) for x in levels], *by).agg(
+        F.grouping_id().cast("bigint").alias("level"), total(F.col("total")).alias("total"),
+        F.sum("rows").alias("rows"))
+
+
 def build(rows: DataFrame, by: list[str]) -> DataFrame:
     """One statement per key: money buckets, uncategorised amounts and counts."""
     cat, sub = F.col("category"), F.col("subcategory")

@@ -12,6 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bookloom.functions.arrays import chunked, let, scan
 from bookloom.functions.money import count_if
 from bookloom.rules import detectors as rules
 
@@ -39,24 +40,32 @@ def spans(text: Column, detector: dict) -> Column:
 
     def locate(hits: Column) -> Column:
         pieces = F.split(text, "(?id)" + detector["pattern"], -1)
-        start0 = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
 
-        def step(acc: Column, pair: Column) -> Column:
-            start = acc["at"] + F.length(pair["gap"])
+        def step(at: Column, pair: Column) -> tuple[Column, Column]:
+            start = at + F.length(pair["gap"])
             stop = start + F.length(pair["hit"])
-            left = F.greatest(F.lit(0), start - window)
-            span = F.struct(
-                start.alias("start"), stop.alias("stop"), F.lit(detector["ordinal"]).alias("rank"),
+            return stop, F.array(F.struct(start.alias("start"), stop.alias("stop"),
+                                          pair["hit"].alias("hit")))
+
+        pairs = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"))
+        places = scan(F.transform(pairs, lambda p: F.struct(p["gap"].alias("gap"), p["hit"].alias("hit"))),
+                      F.lit(0), step, "struct<start:int,stop:int,hit:string>")
+        return let(places, lambda x: F.flatten(chunked(x, around)))
+
+    def around(chunk: Column, _: Column) -> Column:
+        """Spans of a chunk; their contexts are cut from the part of the text that it covers."""
+        low = F.greatest(F.lit(0), F.get(chunk, 0)["start"] - window)
+        part = F.substring(text, low + 1, F.get(chunk, F.size(chunk) - 1)["stop"] + window - low)
+
+        def span(t: Column, h: Column) -> Column:
+            left = F.greatest(F.lit(0), h["start"] - window)
+            return F.struct(
+                h["start"].alias("start"), h["stop"].alias("stop"), F.lit(detector["ordinal"]).alias("rank"),
                 F.lit(detector["code"]).alias("code"), F.lit(detector["label"]).alias("label"),
-                F.lit(detector["confidence"]).alias("confidence"), pair["hit"].alias("value"),
-                F.substring(text, left + 1, stop + window - left).alias("context"))
-            return F.struct(stop.alias("at"),
-                            F.array_append(acc["out"], span).cast(f"array<{SPAN}>").alias("out"))
+                F.lit(detector["confidence"]).alias("confidence"), h["hit"].alias("value"),
+                F.substring(t, left - low + 1, h["stop"] + window - left).alias("context"))
 
-        pairs = F.transform(F.arrays_zip(F.slice(pieces, F.lit(1), F.size(hits)).alias("gap"),
-                                         hits.alias("hit")),
-                            lambda p: F.struct(p["gap"].alias("gap"), p["hit"].alias("hit")))
-        return F.aggregate(pairs, start0, step, lambda acc: acc["out"])
+        return let(part, lambda t: F.transform(chunk, lambda h: span(t, h)))
 
     bound = F.transform(F.array(found), lambda h: F.when(F.size(h) > 0, locate(h)))
     return F.coalesce(F.get(bound, 0), F.array().cast(f"array<{SPAN}>"))
@@ -82,14 +91,12 @@ def resolve() -> Column:
     ordered = F.transform(F.array_sort(F.transform("detections", lambda s: F.struct(
         s["start"].alias("a"), (-s["confidence"]).alias("b"), s["rank"].alias("c"), s.alias("s")))),
         lambda x: x["s"])
-    seed = F.struct(F.lit(-1).alias("end"), F.array().cast(f"array<{SPAN}>").alias("kept"))
+    def step(end: Column, s: Column) -> tuple[Column, Column]:
+        stays = s["start"] >= end
+        return (F.when(stays, s["stop"]).otherwise(end),
+                F.when(stays, F.array(s)).otherwise(F.array().cast(f"array<{SPAN}>")))
 
-    def step(acc: Column, s: Column) -> Column:
-        return F.when(s["start"] >= acc["end"], F.struct(
-            s["stop"].alias("end"),
-            F.array_append(acc["kept"], s).cast(f"array<{SPAN}>").alias("kept"))).otherwise(acc)
-
-    return F.aggregate(ordered, seed, step, lambda acc: acc["kept"])
+    return scan(ordered, F.lit(-1), step, SPAN)
 
 
 def replacement(span: Column, keep_last_four: bool = True) -> Column:
@@ -105,17 +112,30 @@ def replacement(span: Column, keep_last_four: bool = True) -> Column:
 
 
 def redact(rows: DataFrame, text: str = "text", keep_last_four: bool = True) -> DataFrame:
-    """Add ``kept`` spans and the ``redacted`` text, rebuilt left to right."""
+    """Add ``kept`` spans and the ``redacted`` text: gaps and tokens in turn.
+
+    A place in a text is found by reading up to it, so each chunk of spans first cuts out the
+    part of the text that it covers."""
     out = rows.withColumn("kept", resolve())
-    seed = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
+    whole = F.col(text)
+
+    def rewritten(kept: Column) -> Column:
+        def part(chunk: Column, first: Column) -> Column:
+            at = F.coalesce(F.get(kept, first - 1)["stop"], F.lit(0))
+            covered = F.substring(whole, at + 1, F.get(chunk, F.size(chunk) - 1)["stop"] - at)
+
+            def piece(t: Column, s: Column, i: Column) -> Column:
+                before = F.coalesce(F.get(chunk, i - 1)["stop"], at)
+                return F.concat(F.substring(t, before - at + 1, s["start"] - before),
+                                replacement(s, keep_last_four))
+
+            return let(covered, lambda t: F.transform(chunk, lambda s, i: piece(t, s, i)))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(s["stop"].alias("at"),
-                        F.concat(acc["done"], gap, replacement(s, keep_last_four)).alias("done"))
+        end = F.coalesce(F.get(kept, F.size(kept) - 1)["stop"], F.lit(0))
+        return F.concat(F.array_join(F.flatten(chunked(kept, part)), ""),
+                        F.substring(whole, end + 1, F.length(whole)))
 
-    rebuilt = F.aggregate("kept", seed, step, lambda acc: F.concat(
-        acc["done"], F.substring(F.col(text), acc["at"] + 1, F.length(F.col(text)))))
+    rebuilt = let(F.col("kept"), rewritten)
     return out.withColumn("redacted", F.when(F.size("detections") == 0, F.col(text))
                           .otherwise(rebuilt))
 

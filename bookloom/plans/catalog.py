@@ -641,6 +641,12 @@ def _(s, d):
     return journal.by_type(_analysis(s, d).trial_balance)
 
 
+@query("ledger_rollup")
+def _(s, d):
+    a = _analysis(s, d)
+    return journal.rollup(a.trial_balance, a.inputs.batches)
+
+
 @query("out_of_balance")
 def _(s, d):
     return journal.out_of_balance(_analysis(s, d).trial_balance)
@@ -881,6 +887,11 @@ def _(s, d):
     return pnl.breakdown(pnl.categorize(_simple(s, d)), ["client_id"])
 
 
+@query("keyword_rollup")
+def _(s, d):
+    return pnl.rollup(pnl.categorize(_simple(s, d)))
+
+
 @query("pnl_build")
 def _(s, d):
     return pnl.build(pnl.categorize(_simple(s, d)), ["client_id"])

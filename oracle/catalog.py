@@ -330,6 +330,8 @@ o("entry_balance", "SELECT seq, entry_id, CAST(debits AS VARCHAR) AS entry_debit
 o("trial_balance", f"SELECT batch_id, code, name, CAST(total_debit AS VARCHAR) AS total_debit, CAST(total_credit AS VARCHAR) AS total_credit, type, normal_balance, CAST(net AS VARCHAR) AS net_balance, {text('CASE WHEN net > 0 THEN net ELSE 0 END')} AS balance_debit, {text('CASE WHEN net < 0 THEN -net ELSE 0 END')} AS balance_credit FROM tb", "tb")
 _tbt = "SELECT batch_id, CAST(total_debits AS VARCHAR) AS total_debits, CAST(total_credits AS VARCHAR) AS total_credits, account_count, CAST(difference AS VARCHAR) AS difference, is_balanced FROM tbt"
 o("trial_balance_totals", _tbt, "tbt")
+o("ledger_rollup", f"""SELECT client_id, batch_id, type, code, grouping(client_id, batch_id, type, code)::BIGINT AS level, count(*) AS balances, CAST({msum('total_debit')} AS VARCHAR) AS total_debit, CAST({msum('total_credit')} AS VARCHAR) AS total_credit, CAST({msum('net')} AS VARCHAR) AS net_balance
+FROM tb JOIN (SELECT batch_id, client_id FROM batches) USING (batch_id) GROUP BY GROUPING SETS ((client_id, batch_id, type, code), (client_id, batch_id, type), (client_id, batch_id), (client_id, type, code), (client_id, type), (client_id), (type, code), (type), ())""", "tb batches")
 o("out_of_balance", _tbt + " WHERE NOT is_balanced", "tbt")
 o("trial_balance_by_type", f"SELECT batch_id, type, count(*) AS accounts, CAST({msum('total_debit')} AS VARCHAR) AS total_debit, CAST({msum('total_credit')} AS VARCHAR) AS total_credit, CAST({msum('net')} AS VARCHAR) AS net_balance FROM tb GROUP BY 1, 2", "tb")
 cte("pl", f"""SELECT *, {m('revenue - cogs')} AS gross_profit FROM (SELECT batch_id, {msum('abs(net)', "type = 'REVENUE'")} AS revenue, {msum('abs(net)', "type = 'COGS'")} AS cogs,
@@ -459,6 +461,8 @@ _b = {"gross_revenue": "category = 'revenue'", "refunds": "category = 'refund_ou
       "uncategorized_income": "subcategory = 'uncategorized_income'", "uncategorized_expense": "category = 'opex' AND subcategory = 'other_opex'"}
 _agg = ", ".join(f"{msum('amount', c)} AS {k}" for k, c in _b.items()) + ", count(*) AS transaction_count, count(*) FILTER (WHERE confidence = 'flagged') AS flagged_count"
 _out = ", ".join(f"CAST({k} AS VARCHAR) AS {k}" for k in _b) + ", transaction_count, flagged_count"
+o("keyword_rollup", f"""SELECT client_id, period, category, subcategory, grouping(client_id, period, category, subcategory)::BIGINT AS level, CAST({msum('amount')} AS VARCHAR) AS total, count(*) AS rows FROM simple
+GROUP BY GROUPING SETS ((client_id, period, category, subcategory), (client_id, period, category), (client_id, period), (client_id, category, subcategory), (client_id, category), (client_id), (category, subcategory), (category), ())""", "simple")
 cte("built", f"SELECT client_id, period, {_agg} FROM simple GROUP BY 1, 2", "simple")
 o("pnl_multi_period", f"SELECT client_id, period, {_out} FROM built", "built")
 o("pnl_build", f"SELECT client_id, {_out} FROM (SELECT client_id, {_agg} FROM simple GROUP BY 1)", "simple")

@@ -8,7 +8,8 @@ from bookloom.functions import matching, money
 from bookloom.operators import (categorize, client_rules, corrections, loans, merchant, pnl, scrub,
                                 skew)
 from bookloom.plans.analysis import Analysis, Inputs
-from bookloom.sources import sinks, statements
+from bookloom.rules.detectors import CONTEXT
+from bookloom.sources import extract, sinks, statements
 from bookloom.streaming import ingest
 
 # description | side | amount | expected account
@@ -331,7 +332,43 @@ def test_folder_stream_and_sinks(spark, tmp_path):
     _, a = labelled(spark)
     stored = a.use_stored(sinks.materialize(a.posted, str(tmp_path / "posted")))
     sinks.write_package(stored.package, str(tmp_path / "package"))
-    assert spark.read.json(str(tmp_path / "package")).select("section").distinct().count() == 11
+    assert spark.read.json(str(tmp_path / "package")).select("section").distinct().count() == 17
+
+
+def test_line_breaks_inside_quotes_stay_in_their_record(spark):
+    text = 'Date,Description,Amount\r\n01/02/2024,"Two\nlines ""x""",5.00\n01/03/2024,PLAIN,-1.00\r'
+    rows, batches_ = extract.extract(spark.createDataFrame([("a.csv", text)], "source_id string, text string"), 2024)
+    assert sorted((r.seq, r.date, r.description, r.amount, r.direction) for r in rows.collect()) == [
+        (1, "2024-01-02", 'Two\nlines "x"', D("5.00"), "CREDIT"),
+        (2, "2024-01-03", "PLAIN", D("1.00"), "DEBIT")]
+    assert batches_.first().success
+
+
+def test_many_spans_in_one_text(spark):
+    """More hits than a chunk holds, of several types, overlapping and at both ends."""
+    n = 700
+    text = " ".join(f"call (212) 555-{1000 + i} u{i}@mail.example.com" for i in range(n))
+    row = scrub.redact(scrub.detect(spark.createDataFrame([(1, text), (2, ""), (3, "plain")],
+                                                          "source_id int, text string"))).orderBy("source_id")
+    full, empty, plain = row.collect()
+    assert [text[d.start:d.stop] for d in full.detections] == [d.value for d in full.detections]
+    assert all(d.context == text[max(0, d.start - CONTEXT):d.stop + CONTEXT] for d in full.detections)
+    assert len(full.kept) >= 2 * n and all(a.stop <= b.start for a, b in zip(full.kept, full.kept[1:]))
+    at, want = 0, ""
+    tokens = {r.start: r.token for r in spark.createDataFrame([full]).select(
+        "text", F.explode("kept").alias("k")).select("k.start", scrub.replacement(F.col("k")).alias("token")).collect()}
+    for k in full.kept:
+        want, at = want + text[at:k.start] + tokens[k.start], k.stop
+    assert full.redacted == want + text[at:]
+    assert (empty.redacted, plain.redacted) == ("", "plain")
+
+
+def test_scrubbed_texts_read_back(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "mail me@x.com"), ("b", "nothing")], "source_id string, text string")
+    sinks.write_scrubbed(scrub.report(scrub.redact(scrub.detect(rows))), str(tmp_path))
+    texts = {r.source_id: r.redacted for r in spark.read.parquet(str(tmp_path / "scrubbed")).collect()}
+    items = {r.source_id: r["items"] for r in spark.read.parquet(str(tmp_path / "reports")).collect()}
+    assert texts["b"] == "nothing" and "me@x.com" not in texts["a"] and items == {"a": 1, "b": 0}
 
 
 def test_statement_files_to_verdict(spark, tmp_path):

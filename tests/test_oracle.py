@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 FOLDER = "/root/testdata/sf0.001"
 SAMPLE = ["exact_match", "pattern_match", "loan_split", "categorize", "trial_balance",
           "profit_and_loss", "flag_summary", "package_fields", "tax_items", "tax_unmapped", "capex_items",
-          "correction_list", "split_shares", "pnl_assumptions", "industry_scorecard", "cover_sheet", "acceptance_verdict", "redact_text", "pnl_checks"]
+          "correction_list", "split_shares", "pnl_assumptions", "ledger_rollup", "keyword_rollup", "industry_scorecard", "cover_sheet", "acceptance_verdict", "redact_text", "pnl_checks"]
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables not present")
