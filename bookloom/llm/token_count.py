@@ -14,6 +14,7 @@ counted by itself, so repeated ids are fine; other columns of the input are igno
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,6 +25,7 @@ from bookloom.llm.common import settle
 from bookloom.llm.tokenizer import encoder
 
 WIDEN = 8
+SPACES = re.compile(r"\s+")
 
 
 def stable(text: str, at: int) -> bool:
@@ -50,12 +52,14 @@ def chunk_rows(text: str, chunk: int, overlap: int) -> Iterator[tuple[int, int,
 
 def boundaries(text: str, spans: list[tuple[int, int]], lo: int, hi: int) -> dict[int, int]:
     """Stable boundaries in [lo, hi) where a token starts: position -> tokens before it."""
-    found = {}
+    found: dict[int, int] = {}
+    blanks = SPACES.finditer(text)
+    a, b = 0, 0
     for n, (start, _) in enumerate(spans):
+        while b < start and (run := next(blanks, None)):
+            a, b = run.span()
         # offsets may leave out white space that belongs to the token
-        at = start
-        while at > 0 and text[at - 1].isspace():
-            at -= 1
+        at = a if a < start <= b else start
         for p in (at, start):
             if lo <= p < hi and p not in found and stable(text, p):
                 found[p] = n

@@ -21,6 +21,8 @@ PIECE = re.compile(rf"{SPACE}*[\S\x1c-\x1f]+|{SPACE}+\Z")
 OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x85\xa0  -     　]")
 #: Marks that no special string and no contraction holds.
 MARKS = ".,!?*#$%&;:"
+#: Longest piece that is remembered, in characters: texts without blanks are one piece each.
+LONGEST = 64
 
 
 def default_path(name: str) -> str:
@@ -64,7 +66,7 @@ PROBES = [b + w for b in ("", " ") for w in (
 
 class Encoder:
     """ids(texts) of one tokenizer file; memo: the most pieces between blanks that are
-    remembered, and half the most words."""
+    remembered, and half the most words, each of up to LONGEST characters."""
 
     def __init__(self, path: str, memo: int = 500_000):
         self.path, self.memo = path, memo
@@ -105,8 +107,8 @@ class Encoder:
             return [(at[p.begin], at[p.end]) for p in found]
         return self.model.encode(text, add_special_tokens=False).offsets
 
-    def _learn(self, known: dict[str, bytes], keys: set[str], before: str) -> None:
-        """Pieces not met before, from their word and the marks after it."""
+    def _learn(self, known: dict[str, bytes], keys: set[str], before: str) -> dict[str, bytes]:
+        """Ids of pieces not met before, from their word and the marks after it; long ones are forgotten."""
         if len(self.words) > 2 * self.memo:
             self.words.clear()
         words, cut, new = self.words, [], set()
@@ -134,8 +136,12 @@ class Encoder:
             part = ordered[at:at + 4096]
             for w, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False)):
                 words[w] = array("I", e.ids).tobytes()
-        for k, w, marks in cut:
-            known[k] = words[w] + words[marks] if marks else words[w]
+        found = {k: words[w] + words[marks] if marks else words[w] for k, w, marks in cut}
+        for w in new:
+            if len(w) > LONGEST:
+                del words[w]
+        known.update((k, v) for k, v in found.items() if len(k) <= LONGEST)
+        return found
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers."""
@@ -157,9 +163,9 @@ class Encoder:
                 found = list(map(known.get, keys))
                 new = [i for i, v in enumerate(found) if v is None]
                 if new:
-                    self._learn(known, {keys[i] for i in new}, before)
+                    fresh = self._learn(known, {keys[i] for i in new}, before)
                     for i in new:
-                        found[i] = known[keys[i]]
+                        found[i] = fresh[keys[i]]
                 out.append(b"".join(found))
         return [a + b for a, b in zip(out[::2], out[1::2])]
 

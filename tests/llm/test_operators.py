@@ -3,7 +3,9 @@
 import base64
 import hashlib
 import random
+import time
 import zlib
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -84,6 +86,29 @@ def test_stable_boundaries():
 
 # --- packing
 
+def test_boundaries_of_long_white_space():
+    text = "one" + "\n\t" * 500_000 + "two"
+    spans = [(0, 3), *((i, i + 1) for i in range(3, len(text) - 3)), (len(text) - 3, len(text))]
+    began = time.monotonic()
+    assert token_count.boundaries(text, spans, 0, len(text)) == {3: 1}
+    assert time.monotonic() - began < 20
+    small = " a  b\x1c c\n"
+    for start in range(len(small) + 1):
+        at = start
+        while at > 0 and small[at - 1].isspace():
+            at -= 1
+        want = {p: 0 for p in (at, start) if token_count.stable(small, p)}
+        assert token_count.boundaries(small, [(start, start)], 0, len(small)) == want
+
+
+def test_encoder_forgets_long_pieces():
+    e = Encoder(default_path("byte_bpe_50k.json"))
+    rows = ["x" * 1_000 + str(i) + "." for i in range(20)] + ["short words " + "y" * 65]
+    assert [list(array("I", b)) for b in e.ids(rows + rows)] == [e.whole(t) for t in rows + rows]
+    kept = [k for known in (*e.pieces, e.words) for k in known]
+    assert kept and max(map(len, kept)) <= 64
+
+
 def test_tournament_is_first_fit():
     r = random.Random(3)
     lengths = sorted((r.randint(1, 20) for _ in range(200)), reverse=True)
@@ -407,6 +432,34 @@ def test_decontamination(spark):
     assert decontam.leaks(documents(spark, rows), benchmark.limit(0)).count() == 0
 
 
+def test_decontamination_of_items_without_usable_windows(spark):
+    """Items of placeholders and short items are met word for word, in Spark as in SQL."""
+    import duckdb
+
+    benchmark = spark.createDataFrame(
+        [(1, "What is 12 + 15 * 3 ?"), (2, "Paris is where exactly"), (3, "3 4 5 6 7 8 9"), (4, "two words"),
+         (5, ITEM)], "item_id long, text string")
+    rows = ["before: what is 12 + 15 * 3 ? after", "what is 12 + 15 * 4 ?", "say, paris is where exactly?",
+            "paris is where", "1 2 3 4 5 6 7 8 9 10", "9 8 7 6 5 4 3", "two words", ITEM]
+    docs = documents(spark, rows)
+    columns = ["doc_id", "item_id", "n_windows", "n_item_windows", "n_slots", "verbatim"]
+    got = collected(decontam.leaks(docs, benchmark), *columns)
+    assert [r[:2] for r in got] == [(0, 1), (2, 2), (4, 3), (7, 5)] and all(r[5] for r in got)
+    db = duckdb.connect()
+    for name, df in (("documents", docs), ("benchmark", benchmark)):
+        db.register(name, df.toPandas())
+    assert sorted(db.sql(f"SELECT {', '.join(columns)} FROM ({decontam.oracle()})").fetchall(), key=repr) == got
+    assert collected(decontam.keep(docs, benchmark), "doc_id") == [(1,), (3,), (5,), (6,)]
+
+
+def test_decontamination_without_ids(spark):
+    benchmark = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    rows = spark.createDataFrame([(None, "It says: " + ITEM, 1), (None, "clean words only here", 2),
+                                  (None, None, 3), (7, ITEM, 4), (8, "clean", 5)],
+                                 "doc_id long, text string, _name long")
+    assert collected(decontam.keep(rows, benchmark), "_name") == [(2,), (3,), (5,)]
+
+
 # --- language, toxicity
 
 TONGUES = {"en": "the of and with that there was shall thing", "de": "der und ist nicht eine schon über",
