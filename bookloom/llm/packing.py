@@ -59,10 +59,11 @@ def first_fit_decreasing(lengths: list[int], size: int) -> list[tuple[int, int]]
     return out
 
 
-def tokenize(docs: DataFrame, path: str, end_id: int, size: int, batch: int = 256) -> DataFrame:
+def tokenize(docs: DataFrame, path: str, end_id: int, size: int, batch: int = 256,
+             memo: int = 500_000) -> DataFrame:
     """Pieces of each document: ids are little-endian unsigned 32-bit integers."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, end = encoder(path), array("I", [end_id]).tobytes()
+        e, end = encoder(path, memo), array("I", [end_id]).tobytes()
         for b in batches:
             for at in range(0, b.num_rows, batch):
                 part, rows = b.slice(at, batch), []
@@ -80,10 +81,11 @@ def tokenize(docs: DataFrame, path: str, end_id: int, size: int, batch: int = 25
 
 
 def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1,
-         per_group: int = 4096) -> DataFrame:
+         per_group: int = 4096, memo: int = 500_000) -> DataFrame:
     """doc_id, start, length, doc_tokens, ids, sequence_id, offset of each piece.
 
-    sequence_id: the group times 2**32, plus the sequence's number in it."""
+    sequence_id: the group times 2**32, plus the sequence's number in it. memo: how much a worker's
+    encoder remembers; less where other stages' workers stay in memory."""
     groups = max(1, -(-docs.count() // per_group))
 
     def place(key: tuple, t: pa.Table) -> pa.Table:
@@ -96,6 +98,6 @@ def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1,
                 .append_column("sequence_id", pa.array([base + b for b, _ in found], pa.int64()))
                 .append_column("offset", pa.array([o for _, o in found], pa.int64())))
 
-    pieces = tokenize(docs, path, end_id, size)
+    pieces = tokenize(docs, path, end_id, size, memo=memo)
     part = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(groups)).alias("part")
     return pieces.select(part, "*").groupBy("part").applyInArrow(place, PACKED)

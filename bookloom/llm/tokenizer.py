@@ -66,12 +66,15 @@ PROBES = [b + w for b in ("", " ") for w in (
 
 class Encoder:
     """ids(texts) of one tokenizer file; memo: the most pieces between blanks that are
-    remembered, and half the most words, each of up to LONGEST characters."""
+    remembered, and the most words, each of up to LONGEST characters. Of either, what was met
+    since half as many came is kept when room is made, so common ones stay."""
 
     def __init__(self, path: str, memo: int = 500_000):
         self.path, self.memo = path, memo
         self.pieces: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}  # plain; after a blank
+        self.older: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
         self.words: dict[str, bytes] = {}
+        self.older_words: dict[str, bytes] = {}
         if path.endswith(".model"):
             import sentencepiece
 
@@ -109,20 +112,28 @@ class Encoder:
 
     def _learn(self, known: dict[str, bytes], keys: set[str], before: str) -> dict[str, bytes]:
         """Ids of pieces not met before, from their word and the marks after it; long ones are forgotten."""
-        if len(self.words) > 2 * self.memo:
-            self.words.clear()
-        words, cut, new = self.words, [], set()
+        if len(self.words) > self.memo // 2:
+            self.older_words, self.words = self.words, {}
+        words, old, cut, new = self.words, self.older_words, [], set()
+
+        def missing(w: str) -> bool:
+            if w not in words:
+                if w not in old:
+                    return True
+                words[w] = old[w]
+            return False
+
         for k in keys:
             w = k.rstrip(MARKS)
             # after a letter or digit a mark always starts a match of its own
             if w and w is not k and w[-1].lower().isalnum() and w[-1] < "\u2000":
                 marks = k[len(w):]
-                if marks not in words:
+                if missing(marks):
                     new.add(marks)
             else:
                 w, marks = k, ""
             w = before + w
-            if w not in words:
+            if missing(w):
                 new.add(w)
             cut.append((k, w, marks))
         form, bpe = self.form, self.model.model
@@ -147,10 +158,9 @@ class Encoder:
         """Per text its ids as little-endian unsigned 32-bit integers."""
         if self.path.endswith(".model"):
             return [array("I", self.whole(t)).tobytes() for t in texts]
-        plain, spaced = self.pieces
-        if len(plain) + len(spaced) > self.memo:
-            plain.clear()
-            spaced.clear()
+        if sum(map(len, self.pieces)) > self.memo // 2:
+            self.older, self.pieces = self.pieces, ({}, {})
+        (plain, spaced), (old_plain, old_spaced) = self.pieces, self.older
         out: list[bytes] = []
         for t in texts:
             if ("  " in t or "\n " in t or t[-1:] in (" ", "\n") or t[:1] == " "
@@ -159,11 +169,16 @@ class Encoder:
             else:
                 heads = t.split(" ")
                 rest, heads = heads[1:], heads[:1]
-            for known, keys, before in ((plain, heads, ""), (spaced, rest, " ")):
+            for known, old, keys, before in ((plain, old_plain, heads, ""),
+                                             (spaced, old_spaced, rest, " ")):
                 found = list(map(known.get, keys))
                 new = [i for i, v in enumerate(found) if v is None]
                 if new:
-                    fresh = self._learn(known, {keys[i] for i in new}, before)
+                    unmet = {keys[i] for i in new}
+                    fresh = {k: old[k] for k in unmet if k in old}
+                    known.update(fresh)
+                    if len(fresh) < len(unmet):
+                        fresh |= self._learn(known, unmet - fresh.keys(), before)
                     for i in new:
                         found[i] = fresh[keys[i]]
                 out.append(b"".join(found))
@@ -173,11 +188,12 @@ class Encoder:
 _open: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's own encoder, opened once."""
+def encoder(path: str, memo: int = 500_000) -> Encoder:
+    """The worker's own encoder, opened once; the last caller says how much it remembers."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if path not in _open:
         _open[path] = Encoder(path)
+    _open[path].memo = memo
     return _open[path]
