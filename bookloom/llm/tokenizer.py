@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from bisect import bisect_left
 from collections.abc import Callable
 from itertools import accumulate
 
@@ -52,11 +53,10 @@ def as_bytes(w: str) -> str:
 FORMS: list[Callable[[str], str]] = [as_bytes, lambda w: as_bytes(w.replace(" ", "").lower())]
 
 
-def simple(w: str) -> bool:
-    """Letters up to U+017F that stay letters in lower case, after one blank at most."""
-    w = w[w[:1] == " ":]
-    return w.isalpha() and max(w) < "\u0180" and w.lower().isalpha()
-
+#: Letters up to U+017F that stay letters in lower case, after one blank at most.
+SIMPLE = re.compile(" ?[" + "".join(c for c in map(chr, range(0x180)) if c.isalpha() and c.lower().isalpha()) + "]+")
+#: Characters that are looked up together; what is new in them is encoded at once.
+TOGETHER = 100_000
 
 PROBES = [b + w for b in ("", " ") for w in (
     "a", "I", "the", "The", "THE", "camelCase", "XMLHttpRequest", "qzxjkv", "ENENHEITCH", "loweien",
@@ -86,6 +86,7 @@ class Encoder:
             self.model.no_truncation()
             self.model.no_padding()
         self.form = next((f for f in FORMS if self._fits(f)), None)
+        self.runs = self._runs_fit()
 
     def _fits(self, form: Callable[[str], str]) -> bool:
         """Whether words of ASCII letters reach the library's BPE in this form."""
@@ -94,6 +95,21 @@ class Encoder:
         return all([t.id for t in self.model.model.tokenize(form(w))] == self.whole(w)
                    for w in PROBES)
 
+    def _runs_fit(self) -> bool:
+        """Whether ids of a run of pieces can be told apart by where their tokens start."""
+        if self.path.endswith(".model"):
+            return False
+        run = [f"{b}{w}{m}" for w in PROBES for b, m in ((" ", "."), ("\n", ""), (" \"", "1.\nA"))]
+        return self._run(run) == [array("I", self.whole(w)).tobytes() for w in run]
+
+    def _run(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that each start with white space and end with another character, encoded as one text."""
+        e = self.model.encode("".join(pieces), add_special_tokens=False)
+        ids = array("I", e.ids).tobytes()
+        starts = [start for start, _ in e.offsets]
+        cuts = [4 * bisect_left(starts, end) for end in accumulate(map(len, pieces), initial=0)]
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+
     def whole(self, text: str) -> list[int]:
         """Ids straight from the library."""
         if self.path.endswith(".model"):
@@ -114,75 +130,95 @@ class Encoder:
         """Ids of pieces not met before, from their word and the marks after it; long ones are forgotten."""
         if len(self.words) > self.memo // 2:
             self.older_words, self.words = self.words, {}
-        words, old, cut, new = self.words, self.older_words, [], set()
-
-        def missing(w: str) -> bool:
-            if w not in words:
-                if w not in old:
-                    return True
-                words[w] = old[w]
-            return False
-
+        words, old, unmet = self.words, self.older_words, set()
+        whole: list[str] = []
+        tails: list[str] = []
         for k in keys:
-            w = k.rstrip(MARKS)
+            w, marks = k.rstrip(MARKS), ""
             # after a letter or digit a mark always starts a match of its own
-            if w and w is not k and w[-1].lower().isalnum() and w[-1] < "\u2000":
+            if w and w is not k and w[-1] < "\u2000" and w[-1].lower().isalnum():
                 marks = k[len(w):]
-                if missing(marks):
-                    new.add(marks)
+                unmet.add(marks)
+                w = before + w
             else:
-                w, marks = k, ""
-            w = before + w
-            if missing(w):
-                new.add(w)
-            cut.append((k, w, marks))
-        form, bpe = self.form, self.model.model
-        ordered = []
-        for w in new:
+                w = before + k
+            unmet.add(w)
+            whole.append(w)
+            tails.append(marks)
+        unmet = {w for w in unmet if w not in words}  # difference_update would walk all words
+        back = {w: old[w] for w in unmet if w in old}
+        words.update(back)
+        unmet -= back.keys()
+        form, tokenize, simple = self.form, self.model.model.tokenize, SIMPLE.fullmatch
+        runs, rest = [], []
+        for w in unmet:
             if form and simple(w):
-                words[w] = array("I", [t.id for t in bpe.tokenize(form(w))]).tobytes()
+                words[w] = array("I", [t.id for t in tokenize(form(w))]).tobytes()
+            elif self.runs and w[:1] in (" ", "\n") and not w[-1].isspace():
+                runs.append(w)
             else:
-                ordered.append(w)
-        for at in range(0, len(ordered), 4096):
-            part = ordered[at:at + 4096]
+                rest.append(w)
+        for at in range(0, len(runs), 1024):
+            words.update(zip(runs[at:at + 1024], self._run(runs[at:at + 1024])))
+        for at in range(0, len(rest), 4096):
+            part = rest[at:at + 4096]
             for w, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False)):
                 words[w] = array("I", e.ids).tobytes()
-        found = {k: words[w] + words[marks] if marks else words[w] for k, w, marks in cut}
-        for w in new:
+        found = {k: words[w] + words[marks] if marks else words[w] for k, w, marks in zip(keys, whole, tails)}
+        for w in unmet:
             if len(w) > LONGEST:
                 del words[w]
         known.update((k, v) for k, v in found.items() if len(k) <= LONGEST)
         return found
 
+    def _found(self, known: dict[str, bytes], old: dict[str, bytes], keys: list[str], before: str) -> list[bytes]:
+        """Ids of each key, met before or not."""
+        found = list(map(known.get, keys))
+        new = [i for i, v in enumerate(found) if v is None]
+        if new:
+            unmet = {keys[i] for i in new}
+            fresh = {k: old[k] for k in unmet if k in old}
+            known.update(fresh)
+            if len(fresh) < len(unmet):
+                fresh |= self._learn(known, unmet - fresh.keys(), before)
+            for i in new:
+                found[i] = fresh[keys[i]]
+        return found
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers."""
         if self.path.endswith(".model"):
             return [array("I", self.whole(t)).tobytes() for t in texts]
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end]) <= TOGETHER):
+                size += len(texts[end])
+                end += 1
+            out += self._ids(texts[at:end])
+            at = end
+        return out
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
         if sum(map(len, self.pieces)) > self.memo // 2:
             self.older, self.pieces = self.pieces, ({}, {})
         (plain, spaced), (old_plain, old_spaced) = self.pieces, self.older
-        out: list[bytes] = []
+        heads: list[str] = []
+        rest: list[str] = []
+        ends = [(0, 0)]
         for t in texts:
             if ("  " in t or "\n " in t or t[-1:] in (" ", "\n") or t[:1] == " "
                     or OTHER_SPACE.search(t)):
-                heads, rest = PIECE.findall(t), []
+                heads += PIECE.findall(t)
             else:
-                heads = t.split(" ")
-                rest, heads = heads[1:], heads[:1]
-            for known, old, keys, before in ((plain, old_plain, heads, ""),
-                                             (spaced, old_spaced, rest, " ")):
-                found = list(map(known.get, keys))
-                new = [i for i, v in enumerate(found) if v is None]
-                if new:
-                    unmet = {keys[i] for i in new}
-                    fresh = {k: old[k] for k in unmet if k in old}
-                    known.update(fresh)
-                    if len(fresh) < len(unmet):
-                        fresh |= self._learn(known, unmet - fresh.keys(), before)
-                    for i in new:
-                        found[i] = fresh[keys[i]]
-                out.append(b"".join(found))
-        return [a + b for a, b in zip(out[::2], out[1::2])]
+                head, *more = t.split(" ")
+                heads.append(head)
+                rest += more
+            ends.append((len(heads), len(rest)))
+        first = self._found(plain, old_plain, heads, "")
+        then = self._found(spaced, old_spaced, rest, " ")
+        return [b"".join(first[a:c] + then[b:d]) for (a, b), (c, d) in zip(ends, ends[1:])]
 
 
 _open: dict[str, Encoder] = {}
